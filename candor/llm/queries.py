@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import chat, language_id, toxicity
+from candor.llm import chat, language_id, near_duplicates, toxicity
 from candor.llm.common import table
 
 
@@ -29,7 +29,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.linked(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 QUERIES = {
+    "op6_near_duplicates": op6_near_duplicates,
     "op1_toxicity": op1_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_language_id": op9_language_id,
