@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import chat, language_id, near_duplicates, toxicity
+from candor.llm import chat, language_id, near_duplicates, neighbours, toxicity
 from candor.llm.common import table
 
 
@@ -34,7 +34,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
+    "op4_neighbours": op4_neighbours,
     "op6_near_duplicates": op6_near_duplicates,
     "op1_toxicity": op1_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
