@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import chat, language_id, near_duplicates, neighbours, toxicity
+from candor.llm import chat, language_id, near_duplicates, neighbours, substrings, toxicity
 from candor.llm.common import table
 
 
@@ -38,7 +38,12 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_neighbours": op4_neighbours,
     "op6_near_duplicates": op6_near_duplicates,
     "op1_toxicity": op1_toxicity,
