@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import chat, language_id, near_duplicates, neighbours, substrings, toxicity
+from candor.llm import chat, language_id, near_duplicates, neighbours, substrings, suffix_arrays, toxicity
 from candor.llm.common import table
 
 
@@ -42,7 +42,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_neighbours": op4_neighbours,
     "op6_near_duplicates": op6_near_duplicates,
