@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import chat, language_id, near_duplicates, neighbours, substrings, suffix_arrays, toxicity
+from candor.llm import chat, language_id, near_duplicates, neighbours, packing, substrings, suffix_arrays, toxicity
 from candor.llm.common import table
 
 
@@ -46,7 +46,14 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 QUERIES = {
+    "op8_packing": op8_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_neighbours": op4_neighbours,
