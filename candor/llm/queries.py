@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import chat, language_id, near_duplicates, neighbours, packing, substrings, suffix_arrays, toxicity
+from candor.llm import chat, decontamination, language_id, near_duplicates, neighbours, packing, substrings, suffix_arrays, toxicity
 from candor.llm.common import table
 
 
@@ -52,7 +52,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op5_decontamination": op5_decontamination,
     "op8_packing": op8_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op3_substring_dedup": op3_substring_dedup,
