@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import chat, decontamination, language_id, near_duplicates, neighbours, packing, substrings, suffix_arrays, toxicity
+from candor.llm import chat, decontamination, language_id, near_duplicates, neighbours, packing, sanitisation, substrings, suffix_arrays, toxicity
 from candor.llm.common import table
 
 
@@ -56,7 +56,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.check(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitisation.find(table(spark, sf_dir, "documents"), ["doc_id"])
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(sanitisation.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(sanitisation.listed(F.col("base")), 256).alias("base_sha256"), sanitisation.listed(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op2_sanitisation": op2_sanitisation,
     "op5_decontamination": op5_decontamination,
     "op8_packing": op8_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
