@@ -97,3 +97,9 @@ def check(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, items, similarity of every row of docs."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(contaminated(docs, benchmark), "doc_id", "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that hold no item, with all their columns."""
+    bad = staged(contaminated(docs, benchmark).select("doc_id"), "contaminated")
+    return docs.join(_checked(bad), docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")

@@ -129,38 +129,58 @@ def fit(train: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, prototypes(counts, grams) if langs else np.zeros((CUBE, 0), np.float32)
 
 
+def _scored(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the language of each text (that of the languages if none) and its score."""
+    n, known = len(texts), table.shape[1]
+    grams, owner, lettered = trigrams([x or "" for x in texts])
+    if not known:
+        return np.zeros(n, int), np.zeros(n)
+    sums = np.stack([np.bincount(owner, table[grams, k], n) for k in range(known)], axis=1)
+    pairs = np.sort(owner.astype(np.int64) * CUBE + grams)
+    first = np.flatnonzero(np.diff(pairs, prepend=-1))
+    counts = np.diff(first, append=len(pairs))
+    norm = np.sqrt(DIMENSIONS * np.bincount(pairs[first] // CUBE, counts.astype(float) ** 2, n))
+    cos = sums / np.maximum(norm, 1e-9)[:, None]
+    e = np.exp(SHARPNESS * (cos - cos.max(axis=1, keepdims=True)))
+    return np.where(lettered, cos.argmax(axis=1), known), np.where(lettered, 1 / e.sum(axis=1), 0.0)
+
+
 def predict(docs: DataFrame, langs: list[str], dots: np.ndarray) -> DataFrame:
-    """docs with lang_pred and score in place of all columns but doc_id (and what `carry` names)."""
+    """doc_id, held_out, lang_pred and score of each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(dots)
     names = pa.array([*langs, UNDETERMINED], pa.string())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                n = part.num_rows
-                grams, owner, lettered = trigrams([x or "" for x in part.column("text").to_pylist()])
-                sums = np.stack([np.bincount(owner, table[grams, k], n) for k in range(table.shape[1])], axis=1) if table.shape[1] else np.zeros((n, 0))
-                pairs = np.sort(owner.astype(np.int64) * CUBE + grams)
-                first = np.flatnonzero(np.diff(pairs, prepend=-1))
-                counts = np.diff(first, append=len(pairs))
-                norm = np.sqrt(DIMENSIONS * np.bincount(pairs[first] // CUBE, counts.astype(float) ** 2, n))
-                cos = sums / np.maximum(norm, 1e-9)[:, None]
-                known = lettered & bool(langs)
-                if langs:
-                    best = np.where(known, cos.argmax(axis=1), len(langs))
-                    e = np.exp(SHARPNESS * (cos - cos.max(axis=1, keepdims=True)))
-                    sure = np.where(known, 1 / e.sum(axis=1), 0.0)
-                else:
-                    best, sure = np.zeros(n, int), np.zeros(n)
+                best, sure = _scored(part.column("text").to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), names.take(pa.array(best)), pa.array(sure)], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", held_out(4, 2).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """The rows of docs whose language is determined with a score of `least` or more, with all their columns. If there
+    is nothing to learn from, nothing can be rejected."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    langs, dots = fit(docs.where(~held_out(4, 2)))
+    if not langs:
+        return docs
+    shared = spark.sparkContext.broadcast(dots)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                best, sure = _scored(part.column("text").to_pylist(), shared.value)
+                yield part.filter(pa.array((best < len(langs)) & (sure >= least)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the rows of docs that aren't held out, and predict all of them."""
     return predict(docs, *fit(docs.where(~held_out(4, 2))))

@@ -5,8 +5,8 @@
 2. Bands of the signature send classes into buckets. Within a bucket a class is compared with leaders, batch of
    signature positions after batch; as soon as the posterior chance (uniform prior) that the similarity reaches a bound falls to MISS
    or below, the pair is dropped. A class joins the first leader that may be within LEADER_BOUND; it is tied to every
-   leader that may be within TIE_BOUND. As Jaccard distance is a metric, two classes linked at `threshold` that meet in a
-   bucket are then tied, directly or through a leader: LEADER_BOUND - TIE_BOUND >= 1 - threshold.
+   leader that may be within LEADER_BOUND - (1 - threshold). As Jaccard distance is a metric, two classes linked at `threshold` that meet in a
+   bucket are then tied, directly or through a leader.
 3. Components of the ties are groups within which all links lie. A group's full shingle sets are compared exactly,
    all with all, in chunks by set size; chunks whose sizes can't reach the threshold don't meet. Only a spanning forest
    of the true links leaves a task.
@@ -15,8 +15,8 @@
 A linked pair shares no band with probability (1 - threshold^ROWS)^BANDS, 4e-7 at 0.85; MISS comes on top.
 
 Cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; fewer words than
-a shingle has make one shingle; rows that repeat a doc_id stay rows, a null doc_id is a component of its own (null);
-other columns are left aside.
+a shingle has make one shingle; rows that repeat a doc_id are one node, linked by what links any of them; a null doc_id
+is linked with nothing (null component); other columns are left aside.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ SIGNATURE = BANDS * ROWS
 BATCH = 24
 #: Chance at which a pair is given up.
 MISS = 1e-4
-LEADER_BOUND, TIE_BOUND = 0.70, 0.55
+LEADER_BOUND = 0.70
 #: Classes of one group compared in one task, and the same on the other side.
 CHUNK = 512
 #: Largest number of group members that is broadcast to fetch their texts; more are joined by a shuffle.
@@ -129,7 +129,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["bucket", "id"])
 
 
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ties(batches: Iterator[pa.RecordBatch], tie_bound: float) -> Iterator[pa.RecordBatch]:
     """From rows (bucket, id, sig) by bucket: ties (a, b). Only the present bucket's leaders are held."""
     at, ids, sigs = None, [], np.zeros((0, SIGNATURE), np.uint32)
     for batch in batches:
@@ -139,7 +139,7 @@ def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket != at:
                 at, ids, sigs = bucket, [one], sig[None]
                 continue
-            near = plausible(sigs, sig, TIE_BOUND)
+            near = plausible(sigs, sig, tie_bound)
             for x in near:
                 a.append(ids[x])
                 b.append(one)
@@ -192,11 +192,12 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     scanned = staged(scan(docs, k), "minhash")
     has = scanned.where("n > 0 and doc_id is not null")
     classes = staged(has.groupBy("f1", "f2", "n").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("id"), "sig")).alias("m")).select("f1", "f2", "n", "m.id", "m.sig"), "classes")
+    tie_bound = LEADER_BOUND - (1 - percent / 100)
     rows = classes.select("id", "sig").mapInArrow(_bands, "bucket long, id long")
     full = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     members = rows.join(full, "bucket")
     ties = members.join(classes.select("id", "sig"), "id").select("bucket", "id", "sig")
-    ties = ties.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_ties, "a long, b long").distinct()
+    ties = ties.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(lambda it: _ties(it, tie_bound), "a long, b long").distinct()
     groups = components(ties)
     size = groups.groupBy("component").agg(F.count("*").alias("m"))
     # chunks of a group by set size: rank within the group over CHUNK
@@ -237,6 +238,21 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id").cast("long")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with the smallest doc_id of each component alone, and one row (the first by text) of a repeated doc_id; rows without doc_id all stay."""
+    found = linked(docs, k, percent)
+    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    repeated = staged(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
+    if not repeated.limit(1).count():
+        return left
+    from pyspark.sql import Window
+
+    many = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    once = left.join(many, "doc_id").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").select(*docs.columns)
+    return left.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):

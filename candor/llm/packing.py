@@ -187,37 +187,53 @@ def fill(texts: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]
         windows.append(pieces)
 
 
+def _pieces(rows: list[tuple], ids: list[np.ndarray] | None) -> pa.RecordBatch:
+    columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(7)]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    if ids is not None:
+        sizes = np.array([0, *map(len, ids)], np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32))))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
 def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """A row per piece: doc_id, start (ids of the document before it), length, ids_crc32, doc_tokens, sequence_id,
-    offset (in the sequence), and ids if wanted. path: the tokenizer's file."""
+    offset (in the sequence), and ids if wanted. path: the tokenizer's file, at the same place on all executors."""
     rows = staged(encoded(docs, path, window, with_ids), "encoded")
-    parts = rows.count() // (2 * SHARD) + 1
-    spread = F.xxhash64("doc_id")
-    rows = rows.repartitionByRange(parts, "key", spread, "doc_id").sortWithinPartitions("key", spread, "doc_id")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = encoder(path).kind
+        number = 1 << 62 | TaskContext.get().partitionId() << 33
+        for batch in batches:
+            made, ids = [], []
+            for r in batch.to_pylist():
+                head = np.frombuffer(r["head"] or b"", kind)
+                for k, c in enumerate(r["full"]):
+                    made.append((r["doc_id"], k * window, window, c, r["doc_tokens"], number, 0))
+                    ids.append(head[k * window : (k + 1) * window])
+                    number += 1
+            yield _pieces(made, ids if with_ids else None)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = encoder(path).kind
         number = TaskContext.get().partitionId() << 33
         held: list[dict] = []
 
         def out(shard: list[dict]) -> pa.RecordBatch:
             nonlocal number
-            made: list[tuple] = []
-            for r in shard:
-                ids = np.frombuffer(r["head"], kind) if with_ids else None
-                for k, c in enumerate(r["full"]):
-                    made.append((r["doc_id"], k * window, window, c, r["doc_tokens"], number, 0, ids[k * window : (k + 1) * window].tolist() if with_ids else None))
-                    number += 1
+            made, cut = [], []
             texts = [np.frombuffer(r["rest"], kind) for r in shard]
             for pieces in fill(texts, window):
                 offset = 0
                 for i, lo, n in pieces:
-                    ids = texts[i][lo : lo + n]
-                    made.append((shard[i]["doc_id"], shard[i]["doc_tokens"] - len(texts[i]) + lo, n, crc(ids), shard[i]["doc_tokens"], number, offset, ids.tolist() if with_ids else None))
+                    cut.append(texts[i][lo : lo + n])
+                    size = shard[i]["doc_tokens"]
+                    made.append((shard[i]["doc_id"], size - len(texts[i]) + lo, n, crc(cut[-1]), size, number, offset))
                     offset += n
                 number += 1
-            kinds = [pa.int64()] * 7 + [pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kinds[k]) for k in range(7 + with_ids)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 7 + with_ids])
+            return _pieces(made, cut if with_ids else None)
 
         for batch in batches:
             held += batch.to_pylist()
@@ -227,4 +243,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = True
         if held:
             yield out(held)
 
-    return rows.mapInArrow(go, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids)
+    rests = rows.where("octet_length(rest) > 0").select("doc_id", "doc_tokens", "key", "rest")
+    parts = rows.count() // (2 * SHARD) + 1
+    spread = F.xxhash64("doc_id")
+    rests = rests.repartitionByRange(parts, "key", spread, "doc_id").sortWithinPartitions("key", spread, "doc_id")
+    return rows.where("size(full) > 0").select("doc_id", "doc_tokens", "full", "head").mapInArrow(whole, schema).unionByName(rests.mapInArrow(shared, schema))
