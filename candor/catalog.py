@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from candor.plans import metric_queries
+
+FLAGSHIP = "a11_auroc"
+_PARTS = [metric_queries]
+QUERIES = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _PARTS for k, v in m.ORACLES.items()}
