@@ -115,3 +115,11 @@ def fused_sql(tag: str) -> str:
 
 def r6(*columns: str) -> list[Column]:
     return [F.round(F.col(c), 6).alias(c) for c in columns]
+
+
+#: Added before rounding where inputs have six digits, so that means don't end in exact halves, which engines round apart.
+TIE = 1e-10
+
+
+def r6_tied(*columns: str) -> list[Column]:
+    return [F.round(F.col(c) + TIE, 6).alias(c) for c in columns]
