@@ -38,7 +38,7 @@ PATTERNS = {
 }
 #: What a text must have for the pattern to be tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
-OCTET = r"^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+OCTET = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 TERM = r"[^\p{L}]+"
 
 NEAR, CONTEXTS, SHARE, GENERALISE, REMOVE = 48, 3, 0.5, 4.0, 10.0
