@@ -17,13 +17,13 @@ def running(df: DataFrame, keys: list[str], order: str, values: list[str], desce
     """df with cum_<value>: sums over the rows of the keys up to and with this one; order is unique within the keys."""
     span = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     share = (F.col(order) - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
-    rows = df.join(F.broadcast(span), keys).withColumn("_r", F.floor(share * (RANGES - 1)).cast("int")).drop("_lo", "_hi")
+    rows = df.join(span, keys).withColumn("_r", F.floor(share * (RANGES - 1)).cast("int")).drop("_lo", "_hi")
     sign = -1 if descending else 1
     sums = rows.groupBy(*keys, "_r").agg(*(F.sum(v).alias(v) for v in values))
     before = Window.partitionBy(*keys).orderBy(F.col("_r") * sign).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, "_r", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_b_{v}") for v in values))
     inside = Window.partitionBy(*keys, "_r").orderBy(F.desc(order) if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(sums), [*keys, "_r"])
+    out = rows.join(sums, [*keys, "_r"])
     return out.withColumns({f"cum_{v}": F.sum(v).over(inside) + F.col(f"_b_{v}") for v in values}).drop("_r", *(f"_b_{v}" for v in values))
 
 
@@ -32,7 +32,7 @@ def counts(df: DataFrame, keys: list[str], weight: Column | None = None) -> Data
     w = F.lit(1) if weight is None else weight
     by_score = df.groupBy(*keys, "s").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, w).otherwise(0)).alias("neg"))
     total = by_score.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return by_score.join(F.broadcast(total), keys)
+    return by_score.join(total, keys)
 
 
 def auroc(df: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
@@ -69,7 +69,7 @@ def best_threshold(df: DataFrame, keys: list[str], objective: str = "f1") -> Dat
     interpolated quantiles of all scores if there are more. 0.5 with nothing to choose."""
     c = curve(df, keys)
     n = c.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("s", [i / 199 for i in range(200)], F.col("pos") + F.col("neg")).alias("q"))
-    few = c.join(F.broadcast(n.where("n <= 200").select(*keys)), keys).select(*keys, F.col("s").alias("t"))
+    few = c.join(n.where("n <= 200").select(*keys), keys).select(*keys, F.col("s").alias("t"))
     grid = few.unionByName(n.where("n > 200").select(*keys, F.explode("q").alias("t"))).distinct()
     at = grid.join(counts(df, keys), keys).groupBy(*keys, "t").agg(F.sum(F.when(F.col("s") >= F.col("t"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("s") >= F.col("t"), F.col("neg")).otherwise(0)).alias("fp"), F.first("P").alias("P"), F.first("N").alias("N"))
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")), F.lit(0.0))
