@@ -99,9 +99,14 @@ def average_ranks(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return df.join(n.select(*keys, column, (F.col("cum__n") - (F.col("_n") - 1) / 2).alias(f"rank_{column}")), [*keys, column])
 
 
+def pearson(a: str, b: str) -> Column:
+    """Correlation; null where either doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     ranked = average_ranks(average_ranks(df, keys, a), keys, b)
-    return ranked.groupBy(*keys).agg(F.corr(f"rank_{a}", f"rank_{b}").alias("rho"))
+    return ranked.groupBy(*keys).agg(pearson(f"rank_{a}", f"rank_{b}").alias("rho"))
 
 
 def rank_mean(df: DataFrame, columns: list[str], tie: str, out: str) -> DataFrame:

@@ -104,14 +104,14 @@ def _(spark, d):
     return M.auroc(long(labelled(spark, d)), ["detector", "source"]).where("auroc is not null").groupBy("detector").agg(F.round(F.avg("auroc"), 6).alias("auroc"))
 
 
-@query("a23_pearson", f"WITH {LABELLED} SELECT round(corr(sep_entropy, hallushift), 6) AS sh, round(corr(sep_entropy, tsv_margin), 6) AS st, round(corr(hallushift, tsv_margin), 6) AS ht FROM labelled")
+@query("a23_pearson", f"WITH {LABELLED} SELECT round(CASE WHEN stddev_pop(sep_entropy) > 0 AND stddev_pop(hallushift) > 0 THEN corr(sep_entropy, hallushift) END, 6) AS sh, round(CASE WHEN stddev_pop(sep_entropy) > 0 AND stddev_pop(tsv_margin) > 0 THEN corr(sep_entropy, tsv_margin) END, 6) AS st, round(CASE WHEN stddev_pop(hallushift) > 0 AND stddev_pop(tsv_margin) > 0 THEN corr(hallushift, tsv_margin) END, 6) AS ht FROM labelled")
 def _(spark, d):
     s, h, t = DETECTORS
-    return labelled(spark, d).agg(F.round(F.corr(s, h), 6).alias("sh"), F.round(F.corr(s, t), 6).alias("st"), F.round(F.corr(h, t), 6).alias("ht"))
+    return labelled(spark, d).agg(F.round(M.pearson(s, h), 6).alias("sh"), F.round(M.pearson(s, t), 6).alias("st"), F.round(M.pearson(h, t), 6).alias("ht"))
 
 
 @query("a24_spearman", f"""WITH {LONG}, r AS (SELECT detector, rank() OVER (PARTITION BY detector ORDER BY s) + (count(*) OVER (PARTITION BY detector, s) - 1) / 2.0 AS a, rank() OVER (PARTITION BY detector ORDER BY n) + (count(*) OVER (PARTITION BY detector, n) - 1) / 2.0 AS b FROM long)
-    SELECT detector, round(corr(a, b), 6) AS rho FROM r GROUP BY detector""")
+    SELECT detector, round(CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END, 6) AS rho FROM r GROUP BY detector""")
 def _(spark, d):
     return M.spearman(long(labelled(spark, d)), ["detector"], "s", "n").select("detector", *r6("rho"))
 
@@ -161,9 +161,9 @@ def _(spark, d):
     return M.auroc(df.unpivot(["doc_id", "y"], ["end", "span"], "anchor", "s"), ["anchor"]).select("anchor", *r6("auroc"))
 
 
-@query("a32_length_confound", f"WITH {LABELLED} SELECT lang, round(corr(sep_entropy, n), 6) AS score_length, round(corr(n, y), 6) AS length_label FROM labelled GROUP BY lang")
+@query("a32_length_confound", f"WITH {LABELLED} SELECT lang, round(CASE WHEN stddev_pop(sep_entropy) > 0 AND stddev_pop(n) > 0 THEN corr(sep_entropy, n) END, 6) AS score_length, round(CASE WHEN stddev_pop(n) > 0 AND stddev_pop(y) > 0 THEN corr(n, y) END, 6) AS length_label FROM labelled GROUP BY lang")
 def _(spark, d):
-    return labelled(spark, d).groupBy("lang").agg(F.round(F.corr("sep_entropy", "n"), 6).alias("score_length"), F.round(F.corr("n", "y"), 6).alias("length_label"))
+    return labelled(spark, d).groupBy("lang").agg(F.round(M.pearson("sep_entropy", "n"), 6).alias("score_length"), F.round(M.pearson("n", "y"), 6).alias("length_label"))
 
 
 @query("w01_rank_mean", f"""WITH {LABELLED}, r AS (SELECT doc_id, {', '.join(f'(row_number() OVER (ORDER BY {c}, doc_id) - 1) / (count(*) OVER () - 1) AS r_{c}' for c in DETECTORS)} FROM labelled)

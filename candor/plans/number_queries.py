@@ -210,7 +210,8 @@ def _(spark, d):
 
 
 @query("k06_confident_rows", f"""WITH {LABELLED}, r AS (SELECT doc_id, y, row_number() OVER (PARTITION BY y ORDER BY sep_entropy, doc_id) AS r, count(*) OVER (PARTITION BY y) AS c FROM labelled), g AS (SELECT bool_or(y = 1 AND c < 12 OR y = 0 AND c < 28) AS short FROM r)
-    SELECT doc_id FROM r, g WHERE NOT short AND r <= CASE y WHEN 1 THEN 12 ELSE 28 END""")
+    SELECT doc_id FROM r, g WHERE NOT short AND r <= CASE y WHEN 1 THEN 12 ELSE 28 END
+    UNION ALL SELECT doc_id FROM (SELECT doc_id FROM labelled, g WHERE short ORDER BY sep_entropy, doc_id LIMIT 40)""")
 def _(spark, d):
     return splits.confident(labelled(spark, d), "y", "sep_entropy", {1: 0.3, 0: 0.7}, 40, "doc_id").select("doc_id")
 

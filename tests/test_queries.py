@@ -20,7 +20,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    plain = lambda v: [plain(x) for x in v] if hasattr(v, "__iter__") and not isinstance(v, (str, dict)) else None if pd.isna(v) else v
+    plain = lambda v: [plain(x) for x in v] if hasattr(v, "__iter__") and not isinstance(v, (str, dict)) else None if pd.isna(v) else v.item() if hasattr(v, "item") else v
     return sorted((tuple(map(plain, r)) for r in df.itertuples(index=False)), key=str)
 
 
