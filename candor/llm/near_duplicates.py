@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.llm.common import mixed, slices, small_batches, staged, utf8
@@ -130,22 +130,32 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _ties(batches: Iterator[pa.RecordBatch], tie_bound: float) -> Iterator[pa.RecordBatch]:
-    """From rows (bucket, id, sig) by bucket: ties (a, b). Only the present bucket's leaders are held."""
-    at, ids, sigs = None, [], np.zeros((0, SIGNATURE), np.uint32)
+    """From rows (bucket, id, sig) by bucket: ties (a, b). Only the present bucket's leaders are held, and a tie to a
+    leader that the row is tied to already through others isn't given, so a bucket gives no more ties than it has rows."""
+    at, ids, sigs, above = None, [], np.zeros((0, SIGNATURE), np.uint32), []
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = x = above[above[x]]
+        return x
+
     for batch in batches:
         a, b = [], []
         rows = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
         for bucket, one, sig in zip(batch.column("bucket").to_numpy(), batch.column("id").to_numpy(), rows, strict=True):
             if bucket != at:
-                at, ids, sigs = bucket, [one], sig[None]
+                at, ids, sigs, above = bucket, [one], sig[None], [0]
                 continue
-            near = plausible(sigs, sig, tie_bound)
+            near = plausible(sigs, sig, tie_bound).tolist()
             for x in near:
-                a.append(ids[x])
-                b.append(one)
-            if not len(near) or not len(plausible(sigs[near], sig, LEADER_BOUND)):
+                if x == near[0] or root(x) != root(near[0]):
+                    above[root(x)] = root(near[0])
+                    a.append(ids[x])
+                    b.append(one)
+            if not near or not len(plausible(sigs[near], sig, LEADER_BOUND)):
                 ids.append(one)
                 sigs = np.vstack([sigs, sig])
+                above.append(root(near[0]) if near else len(above))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -201,8 +211,6 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     groups = components(ties)
     size = groups.groupBy("component").agg(F.count("*").alias("m"))
     # chunks of a group by set size: rank within the group over CHUNK
-    from pyspark.sql import Window
-
     ranked = groups.join(classes.select(F.col("id").alias("node"), "n"), "node").withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy("n", "node")) - 1)
     ranked = staged(ranked.join(size, "component").select("component", F.col("node").alias("doc_id"), "n", F.floor(F.col("rank") / CHUNK).cast("int").alias("chunk")), "groups")
     ranges = ranked.groupBy("component", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -246,8 +254,6 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     repeated = staged(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
     if not repeated.limit(1).count():
         return left
-    from pyspark.sql import Window
-
     many = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
     once = left.join(many, "doc_id").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").select(*docs.columns)
     return left.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
