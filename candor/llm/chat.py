@@ -16,7 +16,7 @@ from __future__ import annotations
 import hashlib
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>\n"
@@ -55,7 +55,11 @@ def _tree(fields: list) -> str:
 
 def paths(record: Column) -> Column:
     """The nested field paths of a JSON text; null if it is none."""
-    return F.regexp_replace(F.expr("schema_of_variant(r)") if record is None else F.schema_of_variant(F.try_parse_json(record)), f": (?:{_SCALAR})(?=[,>])", "")
+    return _paths(F.try_parse_json(record))
+
+
+def _paths(v: Column) -> Column:
+    return F.regexp_replace(F.schema_of_variant(v), f": (?:{_SCALAR})(?=[,>])", "")
 
 
 def fingerprint(record: Column) -> Column:
@@ -100,7 +104,7 @@ def _turns(layout: dict, v: Column, fixed_roles: bool) -> Column:
 def canonical(df: DataFrame, record: str, fixed_roles: bool = False) -> DataFrame:
     """df with `fingerprint`, `layout` and `turns`, an array of (role, text). fixed_roles leaves the role names of
     single-turn records as they are."""
-    with_print = df.withColumn("_v", F.try_parse_json(F.col(record))).withColumn("fingerprint", F.sha2(F.regexp_replace(F.schema_of_variant(F.col("_v")), f": (?:{_SCALAR})(?=[,>])", ""), 256))
+    with_print = df.withColumn("_v", F.try_parse_json(F.col(record))).withColumn("fingerprint", F.sha2(_paths(F.col("_v")), 256))
     by_name: dict[str, tuple[dict, list[str]]] = {}
     for print_, layout in registry().items():
         by_name.setdefault(layout["name"], (layout, []))[1].append(print_)
@@ -124,8 +128,6 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """From rows (conv_id, turn, role, text), one row per conversation: `formatted`, and `loss`, the spans of assistant
     texts: number of the piece (from 0), where the piece begins, and begin and end of the text in `formatted`, all in
     code points."""
-    from pyspark.sql import Window
-
     role = F.replace(escaped(F.coalesce("role", F.lit(""))), F.lit("\n"), F.lit("<|nl|>"))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit(START), role, F.lit("\n")).alias("head"), escaped(F.coalesce("text", F.lit(""))).alias("body"))
     rows = rows.withColumn("size", (F.length("head") + F.length("body") + len(END)).cast("long"))

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator

@@ -199,10 +199,8 @@ def find(docs: DataFrame, kind: type, length: int, gram: int, earlier: bool, res
 
 def scan(docs: DataFrame, ranges: DataFrame, each: Callable[[str, list[tuple[int, int]]], tuple], schema: str) -> DataFrame:
     """each(text, ranges of it) of every row of docs, after its doc_id."""
-    import pyspark.sql.types as T
-
     rows = joined(keyed(docs), ranges, "ranges", "left").select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "text", "ranges")
-    names = T._parse_datatype_string(schema).names if hasattr(T, "_parse_datatype_string") else [x.split()[0] for x in schema.split(",")]
+    names = [x.split()[0] for x in schema.split(",")]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

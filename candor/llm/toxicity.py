@@ -142,7 +142,6 @@ def _fit_chain(windows: list[list[list[int]]], labels: list[list[int]], size: in
     w, trans, start = np.zeros(size + 2), np.zeros((2, 2)), np.zeros(2)
     w[size] = -2.0
     params, moment, square = [w, trans, start], None, None
-    last = here.sum(axis=1) - 1
     for it in range(1, 121):
         u = w[ids].sum(axis=2) + w[size]
         e = np.exp(np.stack([np.zeros_like(u), np.clip(u, -50, 50)], axis=2))
@@ -175,7 +174,6 @@ def _fit_chain(windows: list[list[list[int]]], labels: list[list[int]], size: in
         for p, m, s in zip(params, moment, square, strict=True):
             p += 0.15 * (m / (1 - 0.9**it)) / (np.sqrt(s / (1 - 0.99**it)) + 1e-8)
         w[size + 1] = 0
-    del last
     return w[: size + 1].copy(), trans, start
 
 
