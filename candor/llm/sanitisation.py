@@ -84,11 +84,15 @@ def disclosing(docs: DataFrame) -> DataFrame:
     after = F.regexp_replace(F.substr("text", F.col("x.end") + 1, F.lit(NEAR)), r"\p{L}++$", "")
     near = F.lower(F.concat(before, F.lit(" | "), after))
     entity = F.concat_ws(":", F.col("x.kind"), F.lower("x.said"))
-    mentions = staged(mentions.select(entity.alias("entity"), near.alias("near")).groupBy("entity", "near").agg(F.count("*").alias("c")), "mentions")
-    pairs = mentions.select("entity", "near", "c", F.explode(F.array_distinct(F.filter(F.split("near", TERM), lambda w: F.length(w) >= 3))).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count("*").alias("contexts")).where(F.col("contexts") >= CONTEXTS)
-    of_entity = mentions.groupBy("entity").agg(F.sum("c").alias("e"))
-    pairs = staged(pairs.join(of_entity, "entity"), "pairs")
+    mentions = staged(mentions.select(F.xxhash64("text").alias("tk"), entity.alias("entity"), near.alias("near")), "mentions")
+    words = mentions.select("tk", "entity", "near", F.explode(F.array_distinct(F.filter(F.split("near", TERM), lambda w: F.length(w) >= 3))).alias("term"))
+    # a term has as many uses at least as there are texts that have it near an entity: where they are too many for its
+    # share, as with common words, its uses needn't be counted
+    texts = words.groupBy("term").agg(F.countDistinct("tk").alias("texts"))
+    pairs = words.groupBy("entity", "term", "near").agg(F.count("*").alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("c"), F.count("*").alias("contexts"))
+    pairs = pairs.where(F.col("contexts") >= CONTEXTS).join(texts, "term").where(F.col("c") >= SHARE * F.col("texts"))
+    of_entity = mentions.groupBy("entity").agg(F.count("*").alias("e"))
+    pairs = staged(pairs.join(of_entity, "entity").select("entity", "term", "c", "e"), "pairs")
     terms = pairs.select("term").distinct()
     if not terms.limit(1).count():
         return pairs.select("term", F.lit("").alias("action"), F.lit(0.0).alias("bits"))
