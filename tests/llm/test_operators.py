@@ -238,6 +238,28 @@ def test_neighbours(spark):
     assert few.count() == 6 and neighbours.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_tables_that_outgrow_the_blocks(spark):
+    """Structureless vectors, 98 blocks on each curve: fixed blocks find under nine tenths."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6272, 32))
+    x[::3] *= 2  # norms differ
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.search(df, F.col("vec_id") % 100 == 0, curves=8, block=64).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = sum(len(got[q] & set([i for i in np.argsort(-(x @ x[q])) if i != q][:20])) for q in got)
+    assert len(got) == 63 and hit / (20 * 63) >= 0.9
+
+
+@pytest.mark.parametrize("slice_", [32_768, 50])
+def test_slices_of_blocks_give_the_same(spark, monkeypatch, slice_):
+    monkeypatch.setattr(neighbours, "SLICE", slice_)
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.search(df, F.lit(True), k=5).collect()}
+    assert got == {(q, j + 1): i for q in range(300) for j, i in enumerate([i for i in np.argsort(-(x @ x[q])) if i != q][:5])}
+
+
 def test_hilbert_is_a_walk_through_all_cells():
     cells = np.array(list(itertools.product(range(8), repeat=3)))
     keys = neighbours.hilbert(cells, 3)
