@@ -5,9 +5,10 @@ fingerprints over weighted five-word shingles. Each fingerprint is cut into RADI
 at least one block, so the block index finds all of them. Candidates are verified by the exact weighted Jaccard
 similarity of their shingle sets, and count from SIMILARITY.
 
-Fingerprints are made of the windows that can count: similarity above 0 needs a common shingle, so windows begin where
-a shingle found in an item would put the item's first word (within the text). Fingerprinting all windows of every length gives
-the same result for some 64 sums per word and item length.
+Fingerprints are made of the windows that can count, wherever they begin: the similarity is at most the weight of the distinct
+shingles that the window shares with the item, over the weight of the item, so windows with less than SIMILARITY of the item's weight
+in common are left out. Each start whose window holds a shared shingle is tried, whatever the order of the shared passages.
+Fingerprinting all windows of every length gives the same result for some 64 sums per word and item length.
 
 A shingle weighs log(1 + items / items that have it), scaled to 1 for a shingle of one item, so phrases that many
 items share tell little; shingles of no item weigh 1.
@@ -55,6 +56,25 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _shared_weight(places: Column) -> Column:
+    """Weight of the distinct shingles of (pos, h, w)."""
+    return F.aggregate(F.array_distinct(F.transform(places, lambda x: F.struct(x["h"], x["w"]))), F.lit(0.0), lambda acc, x: acc + x["w"])
+
+
+def _starts(places: Column, n: Column, m: Column, needed: Column) -> Column:
+    """Starts of the windows of n shingles, in a text of m, that share the weight needed with the item. places: (pos, h, w) of
+    the text's shingles that the item has, by pos. Each start is tried once, with the first place that its window holds."""
+
+    def of(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(places, i - 1)["pos"]).otherwise(-1)
+        low, high = F.greatest(F.lit(0), before + 1, x["pos"] - n + 1), F.least(x["pos"], F.greatest(F.lit(0), m - n))
+        inside = F.slice(places, i + 1, n)
+        enough = lambda s: _shared_weight(F.filter(inside, lambda y: y["pos"] < s + n)) >= needed
+        return F.when(low <= high, F.filter(F.sequence(low, F.greatest(low, high)), enough)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(places, of))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start (word), similarity of each verified window; one per start."""
     items = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
@@ -68,9 +88,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = rows.select("doc_id", F.xxhash64("text").alias("tk"), shingle_hashes(F.col("text"), SHINGLE).alias("hs"))
-    seeds = hashed.select("doc_id", "tk", F.size("hs").alias("m"), F.posexplode("hs").alias("pos", "h")).join(_checked(places), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("off"), F.col("m") - F.col("n")))
-    seeds = seeds.select("doc_id", "tk", "item_id", "n", start.alias("start")).distinct().groupBy("doc_id", "tk").agg(F.collect_list(F.struct("item_id", "n", "start")).alias("seeds"))
+    sought = staged(places.join(weights, "h").select("item_id", "n", "h", "w").distinct(), "sought")
+    needed = sought.groupBy("item_id").agg((F.sum("w") * SIMILARITY - 1e-9).alias("needed"))
+    shared = hashed.select("doc_id", "tk", F.size("hs").alias("m"), F.posexplode("hs").alias("pos", "h")).join(_checked(sought), "h")
+    pairs = shared.distinct().groupBy("doc_id", "tk", "item_id", "n", "m").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "w"))).alias("p"))
+    pairs = pairs.join(_checked(needed), "item_id").where(_shared_weight(F.col("p")) >= F.col("needed"))
+    seeds = pairs.withColumn("start", F.explode(_starts(F.col("p"), F.col("n"), F.col("m"), F.col("needed"))))
+    seeds = seeds.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("item_id", "n", "start")).alias("seeds"))
     seeds = staged(seeds, "seeds")
     found = rows.withColumn("tk", F.xxhash64("text")).join(_checked(seeds), ["doc_id", "tk"])
     found = found.select("doc_id", "seeds", shingle_hashes(F.col("text"), SHINGLE).alias("hs")).select("doc_id", F.explode("seeds").alias("x"), "hs")
@@ -79,6 +103,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = staged(windows.withColumn("win", F.monotonically_increasing_id()), "windows")
     weighed = windows.select("win", F.explode("w").alias("h")).join(_checked(weights), "h", "left").groupBy("win").agg(F.collect_list(F.struct("h", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("s"))
     prints = weighed.select("win", F.col("s").alias("ws"), fingerprint(F.col("s.h"), F.col("s.w")).alias("wfp")).join(windows.select("win", "doc_id", "item_id", "start"), "win")
+    prints = staged(prints, "prints")
     index = items.select("item_id", F.inline("blocks"))
     hits = prints.select("win", "item_id", F.inline(blocks(F.col("wfp")))).join(_checked(index), ["item_id", "block", "bits"]).select("win", "item_id").distinct()
     near = prints.join(hits, ["win", "item_id"]).join(_checked(items.select("item_id", "s", "fp")), "item_id").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp"))) <= RADIUS)

@@ -285,6 +285,30 @@ def test_decontamination(spark):
     assert not any(r["contaminated"] for r in decontamination.check(docs(spark, texts), bench.limit(0)).collect())
 
 
+def test_decontamination_of_reordered_items(spark):
+    """Every window counts, wherever it begins: against the weighted similarity of all windows."""
+    rng = random.Random(12)
+    texts = [" ".join(f"{rng.choice(WORDS)}{rng.randrange(99)}" for _ in range(n)) for n in (60, 80, 44)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    around = lambda t: f"{prose(rng, 70)} {t} {prose(rng, 70)}"
+    halves = [(t.split()[: len(t.split()) // 2], t.split()[len(t.split()) // 2 :]) for t in texts]
+    swapped = [around(" ".join([*b, *a])) for a, b in halves]
+    put = [around(" ".join([*a, "new", "words", *b])) for a, b in halves]
+    d = [*swapped, *put, " ".join([*halves[0][1], *halves[0][0]]), prose(rng, 300), around(" ".join(halves[0][0])), around(" ".join(halves[0][1] + texts[1].split()))]
+    cut = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for i, t in enumerate(d):
+        for k, item in enumerate(texts):
+            a, w = cut(item.split()), cut(t.split())
+            for s in range(max(1, len(w) - len(a) + 1)):
+                b = set(w[s : s + len(a)])
+                if (j := len(set(a) & b) / len(set(a) | b)) >= 0.8 - 1e-9:
+                    want[i, k, s] = j
+    got = {(r["doc_id"], r["item_id"], r["start"]): r["similarity"] for r in decontamination.matches(docs(spark, d), bench).collect()}
+    assert {x[:2] for x in want} == {(0, 0), (1, 1), (2, 2), (3, 0), (4, 1), (6, 0), (9, 1)}
+    assert got == pytest.approx(want)
+
+
 def test_blocks_find_all_within_the_radius(spark):
     rng = random.Random(0)
     pairs = []
