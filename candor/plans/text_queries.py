@@ -216,15 +216,35 @@ def _(spark, d):
 
 @query("j09_contained_items", f"""SELECT d.doc_id, count(*) AS items FROM documents d JOIN benchmark b ON contains({NORM.format('d.text')}, {NORM.format('b.text')}) WHERE {NORM.format('b.text')} <> '' GROUP BY d.doc_id""")
 def _(spark, d):
-    """Documents that hold an item, both normalised. Items are keyed by their first words, so that documents meet only
-    those that can be inside; containment itself is checked on what is left."""
-    k = 4
+    """Documents that hold an item, both normalised, by characters: an item's first and last word may be parts of the
+    text's words, those between are whole. Items of three or more words are keyed by the whole words from the second on, four at most, and meet
+    the documents with these words in turn. Items of one or two words have none; they meet the distinct words, or pairs of
+    words, of the documents by their first characters (pairs: those around the space). Containment itself is checked on what is left."""
     words = lambda c: F.split(c, " ")
+    none = F.array().cast("array<string>")
+    grams = lambda w, k: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " "))).otherwise(none)
     items = table(spark, d, "benchmark").select("item_id", T.norm(F.col("text")).alias("item")).where("item <> ''")
-    items = items.withColumn("key", F.array_join(F.slice(words("item"), 2, k), " "))
-    docs = table(spark, d, "documents").select("doc_id", T.norm(F.col("text")).alias("doc")).withColumn("w", words("doc"))
-    grams = docs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, k), " "))).alias("key")).distinct()
-    hits = grams.join(items.select("item_id", "item", "key"), "key").select("doc_id", "item")
+    items = items.withColumn("w", words(F.col("item"))).withColumn("k", F.least(F.size("w") - 2, F.lit(4)))
+    docs = table(spark, d, "documents").select("doc_id", T.norm(F.col("text")).alias("doc")).withColumn("w", words(F.col("doc")))
+    long_items = items.where("k > 0").select("item", F.array_join(F.slice("w", F.lit(2), F.col("k")), " ").alias("key"))
+    kinds = sorted(r["k"] for r in items.select("k").distinct().collect())
+    keys = F.flatten(F.array(none, *(grams(F.col("w"), k) for k in kinds if k > 0)))
+    hits = docs.select("doc_id", F.explode(keys).alias("key")).join(long_items, "key").select("doc_id", "item").distinct()
+    for k in (k for k in kinds if k <= 0):  # -1: one word, 0: two
+        first, second = F.get("w", F.lit(0)), F.get("w", F.lit(1))
+        short = items.where(F.col("k") == k)
+        if k < 0:
+            short = short.select("item", F.substring("item", 1, 3).alias("part"))
+            parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr(F.col("key"), i, n))))
+        else:
+            short = short.select("item", F.concat(F.right(first, F.lit(2)), F.lit(" "), F.left(second, F.lit(2))).alias("part"))
+            u, v = F.get(words(F.col("key")), F.lit(0)), F.get(words(F.col("key")), F.lit(1))
+            parts = F.array(*(F.concat(F.right(u, F.lit(i)), F.lit(" "), F.left(v, F.lit(j))) for i in (1, 2) for j in (1, 2)))
+        said = docs.select("doc_id", F.explode(grams(F.col("w"), k + 2)).alias("key")).distinct()
+        met = said.select("key").distinct().select("key", F.explode(F.array_distinct(parts)).alias("part"))
+        met = met.join(short.distinct(), "part").where(F.contains("key", "item")).select("key", "item")
+        hits = hits.unionByName(said.join(met, "key").select("doc_id", "item").distinct())
+    hits = hits.join(items.select("item"), "item")  # rows of the benchmark that repeat an item count each
     return docs.select("doc_id", "doc").join(hits, "doc_id").where(F.contains("doc", "item")).groupBy("doc_id").agg(F.count("*").alias("items"))
 
 

@@ -35,5 +35,16 @@ def test_query(spark, duck, name):
         assert len(got)
 
 
+def test_contained_items_of_few_words(spark, tmp_path):
+    items = ["a", "ab", "bcd", "longword", "b c", "ab cd", "x yz", "ab cd ef", "b cd e", "one two three four", "e two three four fiv", "one two three four five", "ne two three four five si", "", None, "ab", "b c", "the end", "zz top", "ab cd ef"]
+    texts = ["xab cdy", "ab cd ef", "ab cd", "b", "c", "bcd", "alongwordy", "one two three four five six", "one two three four fivex", "someone two three four", "b cdx", None, "", "ab! cd? ef", "x yzz", "zzz topper the ending", "ab cd ef ab cd ef", "a b c d e"]
+    pd.DataFrame({"item_id": range(len(items)), "text": items}).to_parquet(tmp_path / "benchmark.parquet")
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    c = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    assert rows(catalog.QUERIES["j09_contained_items"](spark, str(tmp_path)).toPandas()) == rows(c.sql(catalog.ORACLES["j09_contained_items"]).df())
+
+
 def test_flagship_is_registered():
     assert catalog.FLAGSHIP in catalog.QUERIES and not set(catalog.ORACLES) - set(catalog.QUERIES)
