@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,20 +29,43 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests, local runs)."""
+    """The cluster's shared folder. Where the session names none, a temporary one in local mode (tests, single machines); on a
+    cluster that is an error, as each executor would write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="candor-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def staged(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and is read again instead of made again."""
+    """Write df to the shared folder and read it back: cuts the lineage, and is read again instead of made again. The files
+    go when the application ends, or with `discard`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/candor-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what `staged` wrote of df: for tables that nothing reads any more."""
+    fs, at = _file_system(df.sparkSession, df.staged_at)
+    fs.delete(at, True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def empty(df: DataFrame) -> bool:
+    return not df.limit(1).count()
 
 
 def held_out(modulus: int, rest: int) -> F.Column:

@@ -2,17 +2,21 @@
 
 1. Each text gets its set of word shingles, the set's size and 128-bit fingerprint, and a MinHash signature. Texts with
    equal sets are one class from here on, so thousands of copies cost as much as one.
-2. Bands of the signature send classes into buckets. Within a bucket a class is compared with leaders, batch of
-   signature positions after batch; as soon as the posterior chance (uniform prior) that the similarity reaches a bound falls to MISS
-   or below, the pair is dropped. A class joins the first leader that may be within LEADER_BOUND; it is tied to every
-   leader that may be within LEADER_BOUND - (1 - threshold). As Jaccard distance is a metric, two classes linked at `threshold` that meet in a
-   bucket are then tied, directly or through a leader.
-3. Components of the ties are groups within which all links lie. A group's full shingle sets are compared exactly,
-   all with all, in chunks by set size; chunks whose sizes can't reach the threshold don't meet. Only a spanning forest
-   of the true links leaves a task.
-4. Components of the true links give each document the smallest doc_id reachable.
-
-A linked pair shares no band with probability (1 - threshold^ROWS)^BANDS, 4e-7 at 0.85; MISS comes on top.
+2. Bands of the signature send classes into buckets. A bucket has a few representatives (found by sums before the shuffle), and
+   each of its classes is a candidate with these: no more than REPS pairs for a row, however large the bucket.
+3. Signatures of candidates are compared batch of positions after batch; as soon as the posterior chance (uniform prior) that
+   the similarity reaches the threshold falls to MISS or below, the pair is dropped.
+4. Survivors are verified exactly on full sets: first the most similar candidate of each class; then, of the others, those that
+   the links found so far don't connect.
+5. A bucket whose classes are still in different components can hold more links. Shingles that no other class of these buckets
+   has bound what a class can share, exactly: with u of n such shingles, n - u at most. Classes for which this is too little for
+   the threshold are linked with nothing and go. The others get longer signatures; those outside of the bucket's main component are
+   queries against the whole bucket, in blocks of CHUNK rows: the most similar plausible class of another component for
+   each query and block is verified first, and at last every plausible pair that is still apart and within the bound. So no
+   link is lost, and a group that hangs together, or whose members differ by words of their own, costs its size, not the square of it.
+6. Components of the true links give each document the smallest doc_id reachable.
+
+A linked pair shares no band with probability (1 - threshold^ROWS)^BANDS, 8e-7 at 0.85 and 7e-5 at 0.80; MISS comes on top.
 
 Cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; fewer words than
 a shingle has make one shingle; rows that repeat a doc_id are one node, linked by what links any of them; a null doc_id
@@ -25,39 +29,42 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import mixed, slices, small_batches, staged, utf8
+from candor.llm.common import empty, mixed, slices, small_batches, staged, utf8
 from candor.llm.components import components
 from candor.llm.words import find_words, shingles
 
 BANDS, ROWS = 24, 5
 SIGNATURE = BANDS * ROWS
+#: Positions of the signatures by which the rest of a bucket is compared.
+LONG_SIGNATURE = 480
 #: Signature positions compared at a time.
 BATCH = 24
 #: Chance at which a pair is given up.
-MISS = 1e-4
-LEADER_BOUND = 0.70
-#: Classes of one group compared in one task, and the same on the other side.
-CHUNK = 512
+MISS = 1e-6
+#: Representatives of a bucket: the classes nearest to these numbers, by exclusive or, which picks them as good as at random.
+REPS = (0, -1, 0x2545F4914F6CDD1D, -0x61C8864680B583EB)
+#: Classes of a bucket compared in one block, and the same on the side of the queries.
+CHUNK = 1024
 #: Largest number of group members that is broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-@lru_cache(1)
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(6)
-    return rng.integers(0, 1 << 32, SIGNATURE, dtype=np.uint32), rng.integers(0, 1 << 31, SIGNATURE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+@lru_cache(2)
+def _permutations(size: int) -> tuple[np.ndarray, np.ndarray]:
+    drawn = np.random.default_rng(6).integers(0, 1 << 32, (size, 2), dtype=np.uint32)
+    return drawn[:, 0].copy(), drawn[:, 1] | np.uint32(1)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """MinHash signature of a set of 64-bit hashes."""
-    flip, odd = _permutations()
+def signature(hashes: np.ndarray, size: int = SIGNATURE) -> np.ndarray:
+    """MinHash signature of a set of 64-bit hashes; a longer one begins with the shorter one."""
+    flip, odd = _permutations(size)
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.full(SIGNATURE, 0xFFFFFFFF, np.uint32)
+    out = np.full(size, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(low), 256):
         x = low[i : i + 256, None] ^ flip
         x *= odd
@@ -73,7 +80,7 @@ def least_matches(bound: float) -> tuple[int, ...]:
     above MISS. With m matches of n positions the posterior is Beta(m + 1, n - m + 1)."""
     grid = np.linspace(0, 1, 4001)[1:-1]
     out = []
-    for n in range(BATCH, SIGNATURE + 1, BATCH):
+    for n in range(BATCH, LONG_SIGNATURE + 1, BATCH):
         for m in range(n + 1):
             logs = m * np.log(grid) + (n - m) * np.log(1 - grid)
             p = np.exp(logs - logs.max())
@@ -83,17 +90,17 @@ def least_matches(bound: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def plausible(leaders: np.ndarray, one: np.ndarray, bound: float) -> np.ndarray:
-    """Which rows of `leaders` survive the sequential comparison with `one`."""
-    left = np.arange(len(leaders))
-    matches = np.zeros(len(leaders), int)
-    for step, least in enumerate(least_matches(bound)):
+def plausible(x: np.ndarray, y: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of signatures x and y survive the sequential comparison, row with row, and in how many positions these match."""
+    left = np.arange(len(x))
+    matches = np.zeros(len(x), np.int64)
+    for step, least in enumerate(least_matches(bound)[: x.shape[1] // BATCH]):
         at = slice(step * BATCH, (step + 1) * BATCH)
-        matches[left] += (leaders[left, at] == one[at]).sum(axis=1)
+        matches[left] += (x[left, at] == y[left, at]).sum(axis=1)
         left = left[matches[left] >= least]
         if not len(left):
             break
-    return left
+    return left, matches[left]
 
 
 def scan(docs: DataFrame, k: int) -> DataFrame:
@@ -129,134 +136,211 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["bucket", "id"])
 
 
-def _ties(batches: Iterator[pa.RecordBatch], tie_bound: float) -> Iterator[pa.RecordBatch]:
-    """From rows (bucket, id, sig) by bucket: ties (a, b). Only the present bucket's leaders are held, and a tie to a
-    leader that the row is tied to already through others isn't given, so a bucket gives no more ties than it has rows."""
-    at, ids, sigs, above = None, [], np.zeros((0, SIGNATURE), np.uint32), []
+def _signatures(column: pa.Array, size: int = SIGNATURE) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, size)
 
-    def root(x: int) -> int:
-        while above[x] != x:
-            above[x] = x = above[above[x]]
-        return x
 
-    for batch in batches:
-        a, b = [], []
-        rows = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, SIGNATURE)
-        for bucket, one, sig in zip(batch.column("bucket").to_numpy(), batch.column("id").to_numpy(), rows, strict=True):
-            if bucket != at:
-                at, ids, sigs, above = bucket, [one], sig[None], [0]
+def _pairs(a: np.ndarray, b: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int64())], ["a", "b", "m"])
+
+
+def _surviving(bound: float):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, m = plausible(_signatures(batch.column("x")), _signatures(batch.column("y")), bound)
+            yield _pairs(batch.column("a").to_numpy()[left], batch.column("b").to_numpy()[left], m)
+
+    return go
+
+
+def _crossing(percent: int, best: bool):
+    """From rows (bucket, block, slice, q, id, label, n, u, sig), each block's together: plausible pairs of a query with a class of
+    another component; best: the most similar one of each query alone."""
+    bound = percent / 100
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        is_q = rows.column("q").to_numpy()
+        ids, labels = rows.column("id").to_numpy(), rows.column("label").to_numpy()
+        sigs = _signatures(rows.column("sig"), LONG_SIGNATURE)
+        size = rows.column("n").to_numpy()
+        most = size - rows.column("u").to_numpy()
+        all_ids, all_labels, all_sigs, all_size, all_most = ids[~is_q], labels[~is_q], sigs[~is_q], size[~is_q], most[~is_q]
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, label, n, shared, sig in zip(ids[is_q], labels[is_q], size[is_q], most[is_q], sigs[is_q], strict=True):
+            both = np.minimum(all_most, shared)
+            others = np.flatnonzero((all_labels != label) & (100 * both >= percent * (n + all_size - both)))
+            left, m = plausible(all_sigs[others], np.broadcast_to(sig, (len(others), LONG_SIGNATURE)), bound)
+            if best and len(left):
+                top = np.lexsort((all_ids[others[left]], -m))[:1]
+                left, m = left[top], m[top]
+            for held, new in zip(out, (np.full(len(left), i), all_ids[others[left]], m), strict=True):
+                held.append(new)
+        return _pairs(*map(np.concatenate, out))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            near = plausible(sigs, sig, tie_bound).tolist()
-            for x in near:
-                if x == near[0] or root(x) != root(near[0]):
-                    above[root(x)] = root(near[0])
-                    a.append(ids[x])
-                    b.append(one)
-            if not near or not len(plausible(sigs[near], sig, LEADER_BOUND)):
-                ids.append(one)
-                sigs = np.vstack([sigs, sig])
-                above.append(root(near[0]) if near else len(above))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of a symmetric matrix of links, as pairs of row numbers."""
-    label, edges, todo = np.full(len(near), -1), [], np.ones(len(near), bool)
-    for root in range(len(near)):
-        if label[root] >= 0:
-            continue
-        label[root], todo[root], stack = root, False, [root]
-        while stack:
-            x = stack.pop()
-            new = np.flatnonzero(near[x] & todo)
-            label[new], todo[new] = root, False
-            edges += [(x, int(y)) for y in new]
-            stack += new.tolist()
-    return edges
-
-
-def _intersections(sets: list[np.ndarray]) -> np.ndarray:
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    name = np.cumsum(shared) - 1
-    keep = shared[code]
-    owner, code = owner[keep], name[code[keep]]
-    order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
-    total = int(shared.sum())
-    for lo in range(0, total, width):
-        i, j = np.searchsorted(code, [lo, lo + width])
-        m = np.zeros((len(sets), min(width, total - lo)), np.float32)
-        m[owner[i:j], code[i:j] - lo] = 1
-        out += m @ m.T
-    return out
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "block", "slice")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held and at != tuple(keys[lo]):
+                    yield compared(pa.Table.from_batches(held))
+                    held = []
+                at = tuple(keys[lo])
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield compared(pa.Table.from_batches(held))
+
+    return go
+
+
+def _linked(percent: int):
+    """Pairs (a, b) of rows with their sets that have 100 * intersection >= percent * union."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                near[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], ["a", "b"])
+
+    return go
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None, column: str, name: str) -> DataFrame:
+    """rows with the component of `column`, the class itself where it has no link."""
+    if labels is None:
+        return rows.withColumn(name, F.col(column))
+    found = labels.select(F.col("node").alias(column), F.col("component").alias(name))
+    return rows.join(found, column, "left").withColumn(name, F.coalesce(name, column))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs whose classes are in different components."""
+    return _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").drop("la", "lb")
 
 
 def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id: documents are linked whose sets of k-word shingles have
     100 * intersection >= percent * union."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
+    bound = percent / 100
     scanned = staged(scan(docs, k), "minhash")
     has = scanned.where("n > 0 and doc_id is not null")
     classes = staged(has.groupBy("f1", "f2", "n").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("id"), "sig")).alias("m")).select("f1", "f2", "n", "m.id", "m.sig"), "classes")
-    tie_bound = LEADER_BOUND - (1 - percent / 100)
+
     rows = classes.select("id", "sig").mapInArrow(_bands, "bucket long, id long")
-    full = rows.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
-    members = rows.join(full, "bucket")
-    ties = members.join(classes.select("id", "sig"), "id").select("bucket", "id", "sig")
-    ties = ties.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(lambda it: _ties(it, tie_bound), "a long, b long").distinct()
-    groups = components(ties)
-    size = groups.groupBy("component").agg(F.count("*").alias("m"))
-    # chunks of a group by set size: rank within the group over CHUNK
-    ranked = groups.join(classes.select(F.col("id").alias("node"), "n"), "node").withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy("n", "node")) - 1)
-    ranked = staged(ranked.join(size, "component").select("component", F.col("node").alias("doc_id"), "n", F.floor(F.col("rank") / CHUNK).cast("int").alias("chunk")), "groups")
-    ranges = ranked.groupBy("component", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    other = ranges.select("component", F.col("chunk").alias("chunk2"), F.col("lo").alias("lo2"))
-    meets = ranges.join(other, "component").where(f"chunk <= chunk2 and 100 * hi >= {percent} * lo2").groupBy("component", "chunk").agg(F.collect_list("chunk2").alias("right"))
-    back = ranges.join(other, "component").where(f"chunk < chunk2 and 100 * hi >= {percent} * lo2").groupBy("component", F.col("chunk2").alias("chunk")).agg(F.collect_list(ranges["chunk"]).alias("left"))
-    wanted = ranked.select("doc_id", "component", "chunk")
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("c"), *(F.min(F.col("id").bitwiseXOR(F.lit(r).cast("long"))).alias(f"r{i}") for i, r in enumerate(REPS))).where("c > 1")
+    reps = F.array_distinct(F.array(*(F.col(f"r{i}").bitwiseXOR(F.lit(r).cast("long")) for i, r in enumerate(REPS))))
+    members = staged(rows.join(buckets.select("bucket", "c", reps.alias("reps")), "bucket"), "members")
+    pairs = members.select(F.col("id").alias("a"), F.explode("reps").alias("b"), "reps").where("a > b or (a < b and not array_contains(reps, a))").select("a", "b").distinct()
+    banded = members.select("id").distinct()
+    sigs = staged(classes.select("id", "sig").join(_checked(banded), "id"), "signatures")
+    signed = lambda p: p.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+    pairs = staged(signed(pairs).select("a", "b", "x", "y").mapInArrow(_surviving(bound), "a long, b long, m long"), "survivors")
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = F.broadcast(wanted) if ranked.count() <= BROADCAST_ROWS else wanted
-    # a repeated doc_id can have other texts: the set's size and fingerprint say which is the class's
-    sets = texts.join(wanted, "doc_id").mapInArrow(lambda it: _sets(it, k), "doc_id long, component long, chunk int, f1 long, hashes binary")
-    sets = sets.join(classes.select(F.col("id").alias("doc_id"), "f1"), ["doc_id", "f1"]).dropDuplicates(["doc_id", "f1"]).drop("f1")
-    keyed = sets.join(meets, ["component", "chunk"]).join(back, ["component", "chunk"], "left")
-    pairs = F.concat(F.transform("right", lambda c: F.struct(F.col("chunk").alias("x"), c.alias("y"))), F.coalesce(F.transform("left", lambda c: F.struct(c.alias("x"), F.col("chunk").alias("y"))), F.array().cast("array<struct<x:int,y:int>>")))
-    dealt = keyed.select("doc_id", "component", F.explode(pairs).alias("p"), "hashes").select("doc_id", "component", "p.x", "p.y", "hashes")
-
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        sets_ = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
-        n = np.array([len(s) for s in sets_], float)
-        both = _intersections(sets_)
-        near = 100 * both >= percent * (n[:, None] + n[None] - both) - 1e-6
-        np.fill_diagonal(near, False)
-        ids = rows["doc_id"].to_numpy()
-        edges = _forest(near)
-        return pd.DataFrame({"a": [ids[x] for x, _ in edges], "b": [ids[y] for _, y in edges]}, dtype="int64")
-
-    links = staged(dealt.groupBy("component", "x", "y").applyInPandas(verify, "a long, b long"), "links")
-    found = components(links)
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        # a repeated doc_id can have other texts: the set's size and fingerprint say which is the class's
+        wanted = staged(ids.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+        sets = texts.join(_checked(wanted), "doc_id").mapInArrow(lambda it: _sets(it, k), "id long, f1 long, n long, hashes binary")
+        return staged(sets.join(classes.select("id", "f1", "n"), ["id", "f1", "n"]).dropDuplicates(["id"]).select("id", "hashes"), "sets")
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b")
+        return staged(both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "links")
+
+    links, labels = None, None
+
+    def add(new: DataFrame) -> None:
+        nonlocal links, labels
+        links = new if links is None else links.unionByName(new)
+        labels = components(links)
+
+    if not empty(pairs):
+        sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
+        first = pairs.groupBy("a").agg(F.max(F.struct("m", (-F.col("b")).alias("b"))).alias("t")).select("a", (-F.col("t.b")).alias("b"))
+        add(verified(first, sets))
+        rest = staged(_apart(pairs, labels).join(first, ["a", "b"], "left_anti"), "rest")
+        if not empty(rest):
+            add(verified(rest, sets))
+    # buckets in which representatives haven't met all
+    large = members.where("c > size(reps) + 1").select("bucket", "id")
+    mixed_ = _labelled(large, labels, "id", "label").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    large = staged(large.join(mixed_, "bucket"), "large")
+    if not empty(large):
+        sets = sets_of(large)
+        large = staged(large.join(_own(sets).where(f"100 * (n - u) >= {percent} * n"), "id"), "linkable")
+        longer = staged(sets.join(_checked(large.select("id").distinct()), "id").mapInArrow(_longer, "id long, sig binary"), "longer")
+    for best in (True, False):
+        by_label = _labelled(large, labels, "id", "label")
+        counts = by_label.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+        opened = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("total"), F.count("*").alias("labels")).where("labels > 1")
+        blocks = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
+        opened = opened.select("bucket", F.col("main.label").alias("main"), blocks(F.col("total")).alias("blocks"), blocks(F.col("total") - F.col("main.c")).alias("slices"))
+        found = staged(by_label.join(opened, "bucket"), "open")
+        if empty(found):
+            break
+        of = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asked = found.where("label <> main").withColumn("block", every("blocks")).withColumn("slice", of(2, "slices")).withColumn("q", F.lit(True))
+        met = found.withColumn("slice", every("slices")).withColumn("block", of(1, "blocks")).withColumn("q", F.lit(False))
+        dealt = asked.unionByName(met).select("bucket", "block", "slice", "q", "id", "label", "n", "u").join(longer, "id")
+        dealt = dealt.repartition("bucket", "block", "slice").sortWithinPartitions("bucket", "block", "slice")
+        more = dealt.mapInArrow(_crossing(percent, best), "a long, b long, m long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = staged(more, "crossing")
+        if empty(more):
+            break
+        add(verified(more, sets))
+
     # class -> component, then every document by its set
-    by_class = classes.select("f1", "f2", "n", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component_id"))
+    by_class = _labelled(classes.select("f1", "f2", "n", "id"), labels, "id", "component_id").drop("id")
     out = scanned.select("doc_id", "n", "f1", "f2").join(by_class, ["f1", "f2", "n"], "left")
     alone = (F.col("n") == 0) | F.col("component_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id").cast("long")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sigs = [signature(np.frombuffer(h.as_buffer(), np.uint64), LONG_SIGNATURE).tobytes() for h in batch.column("hashes")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary())], ["id", "sig"])
+
+
+def _own(sets: DataFrame) -> DataFrame:
+    """id, n (size of the set) and u (elements that no other set has)."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column("hashes")).to_numpy() // 8
+            hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), sizes)), pa.array(hashes)], ["id", "h"])
+
+    alone = sets.mapInArrow(go, "id long, h long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    sized = sets.select("id", F.expr("octet_length(hashes) div 8").alias("n"))
+    return sized.join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with the smallest doc_id of each component alone, and one row (the first by text) of a repeated doc_id; rows without doc_id all stay."""
     found = linked(docs, k, percent)
     gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    left = docs.join(_checked(gone), "doc_id", "left_anti").select(*docs.columns)
     repeated = staged(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
-    if not repeated.limit(1).count():
+    if empty(repeated):
         return left
-    many = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
-    once = left.join(many, "doc_id").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").select(*docs.columns)
-    return left.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    many = _checked(repeated)
+    once = left.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.struct("text")).alias("row"))
+    return left.join(many, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("row.*"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -266,4 +350,5 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             hashes, owner, _, _ = find_words(raw, offsets, lower=True)
             ends = np.searchsorted(owner, np.arange(part.num_rows + 1))
             sets = [shingles(hashes[ends[i] : ends[i + 1]], k) for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("component"), part.column("chunk"), pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "component", "chunk", "f1", "hashes"])
+            f1 = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(f1, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "n", "hashes"])

@@ -31,7 +31,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.linked(table(spark, sf_dir, "documents"), k=3, percent=85)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 from candor.llm.common import mixed
 
+#: Polynomial hashes modulo 2^64 are equal for certain long texts (Thue-Morse sequences from some 1,000 letters on); words of
+#: more bytes than this are hashed otherwise.
+LONG_WORD = 64
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -68,8 +73,11 @@ def find_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tup
     after[:-1] = inside[1:]
     after[cut[1:]] = False
     end = np.flatnonzero(inside & ~after) + 1
-    sums = prefix_sums(_LOWER[raw] if lower else raw)
-    return spans_hashed(sums, start, end), np.searchsorted(offsets, start, side="right") - 1, start, end
+    raw = _LOWER[raw] if lower else raw
+    hashes = spans_hashed(prefix_sums(raw), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        hashes[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+    return hashes, np.searchsorted(offsets, start, side="right") - 1, start, end
 
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)

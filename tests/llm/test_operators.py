@@ -345,12 +345,41 @@ def brute_components(texts, k, percent):
 @pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, mixed_texts, k, percent, monkeypatch):
     monkeypatch.setattr(near_duplicates, "CHUNK", 4)
+    monkeypatch.setattr(near_duplicates, "REPS", (0,))
     sets, label = brute_components(mixed_texts, k, percent)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates.linked(clashing(docs(spark, mixed_texts)), k, percent).collect()}
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, label, strict=True))}
     assert len(set(label)) < len(label) - 5
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Thousands of texts a few words from one another, some of them under the threshold: as brute force says."""
+    rng = random.Random(21)
+    base = prose(rng, 60).split()
+    texts = []
+    for _ in range(3000):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6])):
+            w[rng.randrange(60)] = rng.choice(WORDS) + str(rng.randrange(9))
+        texts.append(" ".join(w))
+    sets = [shingle_set(t, 3) for t in texts]
+    codes = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((3000, len(codes)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [codes[g] for g in s]] = 1
+    both = has @ has.T
+    n = has.sum(axis=1)
+    near = 100 * both >= 85 * (n[:, None] + n - both) - 1e-3
+    label = np.arange(3000)
+    while True:
+        new = np.array([label[row].min() for row in near])
+        if (new == label).all():
+            break
+        label = new
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.linked(docs(spark, texts), 3, 85).collect()}
+    assert len(set(label)) > 100 and [got[i] for i in range(3000)] == label.tolist()
+
+
 def test_one_of_each(spark):
     rng = random.Random(8)
     a, b = prose(rng, 50), prose(rng, 50)
