@@ -27,6 +27,11 @@ class Units:
     def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * INVERSES.upto(self.size + 1)[start] + (end - start).astype(np.uint64))
 
+    def grams(self, gram: int) -> np.ndarray:
+        """Hashes of all sub-rows of `gram` units."""
+        n = max(0, self.size - gram + 1)
+        return mixed((self.sums[gram:] - self.sums[: self.size + 1 - gram]) * INVERSES.upto(self.size + 1)[:n]) if n else np.zeros(0, np.uint64)
+
     def rows(self, start: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, start, side="right") - 1
 
@@ -41,36 +46,31 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return out
 
 
-def anchors(units: Units, length: int, gram: int) -> np.ndarray:
-    """Places of anchors."""
+def anchors(units: Units, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of anchors, and begin and end of the passages whose anchor each is: those that hold it and no gram with a smaller
+    hash, which begin one after another."""
     width = length - gram + 1
     n = units.size - length + 1
+    none = np.zeros(0, np.int64)
     if n <= 0:
-        return np.zeros(0, np.int64)
-    at = np.arange(units.size - gram + 1)
-    g = mixed((units.sums[gram:] - units.sums[:-gram]) * INVERSES.upto(units.size + 1)[: len(at)])
+        return none, none, none
+    g = units.grams(gram)
     low = _sliding(g, width, np.minimum)  # of the passage that begins here
-    low = np.where(at[: len(low)] + length <= units.end[: len(low)], low, 0)  # passages end in their text
+    low = np.where(np.arange(n) + length <= units.end[:n], low, 0)  # passages end in their text
     padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
     high = _sliding(padded, width, np.maximum)[: len(g)]  # of the passages that hold the gram
-    return np.flatnonzero((high == g) & (high > 0))
-
-
-def contexts(units: Units, places: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: its name (hash of the gram), hash of all passages that hold it, and begin and end of those."""
-    row = units.rows(places)
-    lo = np.maximum(units.offsets[row], places - (length - gram))
-    hi = np.minimum(units.offsets[row + 1], places + length)
-    name = units.hashed(places, places + gram)
-    around = mixed(units.hashed(lo, hi) ^ ((places - lo) * 1_000_003 + (hi - places)).astype(np.uint64))
-    return name, around, lo, hi
-
-
-def passages(lo: np.ndarray, hi: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Begins of all passages that hold an anchor, each once."""
-    first, last = lo, np.minimum(places, hi - length)
-    count = np.maximum(0, last - first + 1)
-    if not count.sum():
-        return np.zeros(0, np.int64)
-    begin = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    return np.unique(begin + np.arange(count.sum()))
+    at = np.flatnonzero((high == g) & (high > 0))
+    begins = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])  # of runs of passages with the same least hash
+    ends = np.r_[begins[1:], n] - 1
+    first = np.searchsorted(begins, np.maximum(at - width + 1, 0), side="right") - 1
+    run, todo = first.copy(), np.flatnonzero(low[begins[first]] != g[at])
+    while len(todo):
+        run[todo] += 1
+        todo = todo[low[begins[run[todo]]] != g[at[todo]]]
+    lo = np.maximum(begins[run], at - width + 1)
+    return at, lo, np.minimum(ends[run], at) + length
+
+
+def contexts(units: Units, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each anchor: its name (hash of the gram), and hash of the passages whose anchor it is and of its place in them."""
+    return units.hashed(at, at + gram), mixed(units.hashed(lo, hi) ^ ((at - lo) * 1_000_003 + (hi - at)).astype(np.uint64))

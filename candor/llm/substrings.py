@@ -82,32 +82,28 @@ class Automaton:
         return out
 
 
-def resolver(length: int, gram: int):
-    need = length - gram + 1  # symbols of a passage, the anchor being one
-
-    def resolve(bounds: np.ndarray, left: np.ndarray, symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and offsets (units from the context's begin) of passages that an earlier row of the shard has."""
-        which, offset = [], []
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            reference = Automaton()
-            for i in range(lo, hi):
-                around = np.frombuffer(symbols[i], np.uint64).tolist()
-                around.insert(int(left[i]), -1)
-                if i > lo:
-                    for end, size in enumerate(reference.statistics(around)):
-                        if size >= need:
-                            which.append(i)
-                            offset.append(end - need + 1)
-                if i + 1 < hi:
-                    reference.add(around)
-        return np.array(which, np.int64), np.array(offset, np.int64)
-
-    return resolve
+def resolve(bounds: np.ndarray, need: np.ndarray, left: np.ndarray, symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and offsets (units from the context's begin) of passages that an earlier row of the shard has. need: symbols of a
+    passage, the anchor being one."""
+    which, offset = [], []
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        reference, enough = Automaton(), int(need[lo])
+        for i in range(lo, hi):
+            around = np.frombuffer(symbols[i], np.uint64).tolist()
+            around.insert(int(left[i]), -1)
+            if i > lo:
+                for end, size in enumerate(reference.statistics(around)):
+                    if size >= enough:
+                        which.append(i)
+                        offset.append(end - enough + 1)
+            if i + 1 < hi:
+                reference.add(around)
+    return np.array(which, np.int64), np.array(offset, np.int64)
 
 
 def repeated(docs: DataFrame, length: int = 20, gram: int = GRAM) -> DataFrame:
     """doc, tk, ranges (in words): what passages of `length` words that also begin earlier cover."""
-    return repeats.find(docs, repeats.Words, length, gram, True, resolver(length, gram))
+    return repeats.find(docs, repeats.Words, length, gram, True, resolve)
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> tuple[int, int, str]:

@@ -42,7 +42,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     places = np.concatenate([ones, np.arange(2, n, 3)])
     if float(top) ** 3 < 9e18:
         triple = (x[places] * top + x[places + 1]) * top + x[places + 2]
-        order = np.argsort(triple, kind="stable")
+        order = np.argsort(triple)
         new = np.diff(triple[order], prepend=-1) != 0
     else:
         cols = x[places], x[places + 1], x[places + 2]
@@ -59,7 +59,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     sample = sample[sample < n]
     rest = np.arange(0, n, 3)
     size = n + 3
-    rest = rest[np.argsort(x[rest] * size + rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort(x[rest] * size + rank[rest + 1])]
     first = sample[sample % 3 == 1]
     second = sample[sample % 3 == 2]
     before = np.searchsorted(x[first] * size + rank[first + 1], x[rest] * size + rank[rest + 1])
@@ -74,34 +74,52 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def resolver(length: int, gram: int):
-    need = length - gram + 1  # symbols of a passage, the anchor being one
+def sharing(bounds: np.ndarray, need: np.ndarray, left: np.ndarray, symbols: list[bytes]) -> np.ndarray:
+    """Which rows can have a passage in common with another row of their shard: a passage has half of its symbols to the left
+    of the anchor or more than the other half to its right, so rows that share neither with another row don't."""
+    sizes = np.array([len(x) for x in symbols], np.int64)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    units = Units(mixed(np.frombuffer(b"".join(symbols), np.uint8).astype(np.uint64) + np.uint64(1)), begin)
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64)
+    half = need // 2
+    out = np.zeros(len(symbols), bool)
+    anchor = begin[:-1] + left
+    for lo, hi, whole in ((anchor - half, anchor, left >= half), (anchor, anchor + need - half, sizes - left >= need - half)):
+        rows = np.flatnonzero(whole)
+        key = mixed(units.hashed(lo[rows], hi[rows]) + group[rows] * np.uint64(0x9E3779B97F4A7C15))
+        _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+        out[rows[count[which] > 1]] = True
+    return out
 
-    def resolve(bounds: np.ndarray, left: np.ndarray, symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and offsets (bytes from the context's begin) of passages that another place of the shard has."""
-        sizes = np.array([len(x) for x in symbols]) + 2  # with the anchor and a mark after the context
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        s = np.ones(begin[-1], np.int64)
-        own = np.ones(begin[-1], bool)
-        own[begin[1:] - 1] = False
-        own[begin[:-1] + left] = False
-        s[own] = np.frombuffer(b"".join(symbols), np.uint8).astype(np.int64) + 2
-        s[begin[:-1] + left] = 258 + group
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        order = suffix_array(s)
-        order = order[order + need < begin[row[order] + 1]]
-        prefix = Units(mixed(s.astype(np.uint64)), np.array([0, len(s)])).hashed(order, order + need)
-        equal = prefix[1:] == prefix[:-1]
-        found = order[np.r_[equal, False] | np.r_[False, equal]]
-        return row[found], found - begin[row[found]]
 
-    return resolve
+def resolve(bounds: np.ndarray, need: np.ndarray, left: np.ndarray, symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and offsets (bytes from the context's begin) of passages that another place of the shard has. need: symbols of a
+    passage, the anchor being one."""
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    rows = np.flatnonzero(sharing(bounds, need, left, symbols))
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    symbols, left, need = [symbols[i] for i in rows], left[rows], need[rows]
+    sizes = np.array([len(x) for x in symbols]) + 2  # with the anchor and a mark after the context
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    s = np.ones(begin[-1], np.int64)
+    own = np.ones(begin[-1], bool)
+    own[begin[1:] - 1] = False
+    own[begin[:-1] + left] = False
+    s[own] = np.frombuffer(b"".join(symbols), np.uint8).astype(np.int64) + 2
+    s[begin[:-1] + left] = 258 + np.unique(group[rows], return_inverse=True)[1]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = suffix_array(s)
+    order = order[order + need[row[order]] < begin[row[order] + 1]]
+    prefix = Units(mixed(s.astype(np.uint64)), np.array([0, len(s)])).hashed(order, order + need[row[order]])
+    equal = prefix[1:] == prefix[:-1]
+    found = order[np.r_[equal, False] | np.r_[False, equal]]
+    return rows[row[found]], found - begin[row[found]]
 
 
 def repeated(docs: DataFrame, length: int = 200, gram: int = GRAM) -> DataFrame:
     """doc, tk, ranges (in bytes): what strings of `length` bytes that also begin elsewhere cover."""
-    return repeats.find(docs, repeats.Bytes, length, gram, False, resolver(length, gram))
+    return repeats.find(docs, repeats.Bytes, length, gram, False, resolve)
 
 
 def without(text: str, ranges: list[tuple[int, int]]) -> tuple[int, int, int, bytes]:

@@ -146,7 +146,7 @@ def test_disclosing_terms(spark):
 # 3 and 10 repeats
 
 
-@pytest.mark.parametrize("shard", [4096, 1])
+@pytest.mark.parametrize("shard", [4096, 3, 1])
 def test_substrings(spark, mixed_texts, monkeypatch, shard):
     from candor.llm import repeats
 
@@ -166,7 +166,7 @@ def test_substrings(spark, mixed_texts, monkeypatch, shard):
     assert {r["doc_id"]: r["kept_sha256"] for r in substrings.digests(docs(spark, mixed_texts)).collect()} == {i: hashlib.sha256(x[2].encode()).hexdigest() for i, x in want.items()}
 
 
-@pytest.mark.parametrize("shard", [4096, 1])
+@pytest.mark.parametrize("shard", [4096, 3, 1])
 def test_suffix_arrays(spark, mixed_texts, monkeypatch, shard):
     from candor.llm import repeats
 
@@ -184,6 +184,21 @@ def test_suffix_arrays(spark, mixed_texts, monkeypatch, shard):
     assert got == want
 
 
+def test_repeats_of_very_long_words_and_periods(spark):
+    """Thue-Morse words, which polynomial hashes modulo 2^64 can't tell apart, and texts of one period."""
+    tm = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = tm.translate(str.maketrans("ab", "ba"))
+    words = " ".join(f"w{i}" for i in range(12))
+    d = docs(spark, [f"{words} {tm} {words}", f"{words} {other} {words}", "ab" * 400, "ab" * 150 + "c"])
+    assert [r["n_removed"] for r in substrings.digests(d).orderBy("doc_id").collect()] == [0, 0, 0, 0]
+    sets = near_duplicates.linked(docs(spark, [tm, other, tm]), 3, 85).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in sets] == [0, 1, 0]
+    raws = [r["text"].encode() for r in d.orderBy("doc_id").collect()]
+    count = Counter(b[s : s + 200] for b in raws for s in range(len(b) - 199))
+    gone = [len({x for s in range(len(b) - 199) if count[b[s : s + 200]] > 1 for x in range(s, s + 200)}) for b in raws]
+    assert [r["n_removed"] for r in suffix_arrays.digests(d).orderBy("doc_id").collect()] == gone
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(0)
     for _ in range(400):
@@ -209,6 +224,8 @@ def test_repeated_rows_are_one_document(spark):
     d = spark.createDataFrame([(1, t), (1, t), (2, prose(rng, 60)), (None, t[:30]), (3, None)], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in substrings.digests(d).collect()) == [("1", 0), ("1", 0), ("2", 0), ("3", 0), ("None", 0)]
     assert {r["n_removed"] for r in suffix_arrays.digests(d).collect()} == {0}
+    many = spark.createDataFrame([(None, f"{prose(rng, 3)} {t} {i}") for i in range(4)] + [(7, f"{t[:-20]} {prose(rng, 30)}"), (7, t)], "doc_id long, text string")
+    assert sorted(r["n_removed"] > 0 for r in substrings.digests(many).collect()) == [False] + [True] * 5
     assert substrings.digests(d.limit(0)).count() == 0 and suffix_arrays.digests(d.limit(0)).count() == 0
 
 
