@@ -7,11 +7,12 @@ Forward-backward gives each token's marginal; a document's score is a logistic f
 toxic tokens and the largest marginal, and its spans are the runs of tokens with marginal of a half or more.
 
 Tokens without any selected feature share one emission, so between two tokens with features the chain is a power of one
-2 x 2 matrix: forward-backward runs over the tokens with features alone and is exact. A document of any length is
-scored whole.
+2 x 2 matrix, of whatever exponent, made by squaring: forward-backward runs over the tokens with features alone and is exact. A
+document of any length is scored whole.
 
 The model is fitted on a bounded sample of labelled rows: about SAMPLE_ROWS, as even between the classes as they allow,
-chosen by a hash of doc_id. Every row is scored.
+chosen by a hash of doc_id; on all their tokens with features, equal windows counted together before they reach the driver.
+Every row is scored.
 
 Cases: null and empty texts have no tokens, no spans and the score of a document without toxic tokens; documents labelled twice
 count as toxic if any label says so; null labels are left out; without labels of both classes all scores are 0.
@@ -35,15 +36,11 @@ from candor.llm.common import held_out, small_batches, staged
 
 #: Labelled rows that the model is fitted on, about.
 SAMPLE_ROWS = 20_000
-#: Word features kept, by significance.
-FEATURES = 5_000
 #: A feature needs this many toxic documents, and its log odds this many standard errors.
 LEAST_DOCS, LEAST_Z, LEAST_LOG_ODDS = 4, 3.5, 2.0
 #: Training windows: tokens on each side of a token with features.
-CONTEXT, WINDOWS = 4, 20_000
+CONTEXT = 4
 WORD = re.compile(r"[^\W_]+")
-#: Tokens without features in a row after which the chain has forgotten where it came from.
-FORGET = 64
 
 
 def features(word: str) -> list[str]:
@@ -78,38 +75,85 @@ def tokens_with_features(text: str, model: Model, first: set[str]) -> tuple[int,
     return len(words), [(k, m.start(), m.end(), model.ids(m[0].lower())) for k, m in enumerate(WORD.finditer(text)) if m[0] in wanted]
 
 
+Square = tuple[float, float, float, float]
+
+
+def _times(x: Square, y: Square) -> Square:
+    """Product of 2 x 2 matrices (rows one after another), scaled to sum 1."""
+    a, b, c, d = x[0] * y[0] + x[1] * y[2], x[0] * y[1] + x[1] * y[3], x[2] * y[0] + x[3] * y[2], x[2] * y[1] + x[3] * y[3]
+    total = a + b + c + d
+    return a / total, b / total, c / total, d / total
+
+
+class Chain:
+    """The chain of a model, with the powers of its step over tokens without features; scales cancel in marginals."""
+
+    #: Powers kept, of the smallest exponents; others are made anew each time.
+    KEPT = 4096
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.step: Square = tuple(np.exp(model.transition).ravel().tolist())
+        self.plain = math.exp(model.emission[-1])
+        s = self.step
+        self.squares: list[Square] = [_times((1.0, 0.0, 0.0, 1.0), (s[0], s[1] * self.plain, s[2], s[3] * self.plain))]
+        self.made: dict[int, Square] = {}
+
+    def power(self, k: int) -> Square:
+        """Over k tokens without features."""
+        if k in self.made:
+            return self.made[k]
+        out, bit = (0.5, 0.0, 0.0, 0.5), 0
+        while k >> bit:
+            if len(self.squares) == bit:
+                self.squares.append(_times(self.squares[-1], self.squares[-1]))
+            if k >> bit & 1:
+                out = _times(out, self.squares[bit])
+            bit += 1
+        if k < self.KEPT:
+            self.made[k] = out
+        return out
+
+    def across(self, k: int) -> Square:
+        """Over k tokens without features, then into the next token."""
+        return _times(self.power(k), self.step)
+
+    def marginals(self, n: int, at: list[int], ids: list[list[int]]) -> np.ndarray:
+        """P(toxic) of the tokens `at` among n, the others having no features."""
+        m = self.model
+        emit = [math.exp(max(-50.0, min(50.0, float(m.emission[-1] + m.emission[x].sum())))) for x in ids]
+        clean, toxic = (math.exp(x) for x in m.start)
+        forward: list[tuple[float, float]] = []
+        steps: list[Square] = []
+        for k, (pos, e) in enumerate(zip(at, emit, strict=True)):
+            if k or pos:
+                if not k:
+                    toxic *= self.plain
+                steps.append(self.across(pos - at[k - 1] - 1 if k else pos - 1))
+                p = steps[-1]
+                clean, toxic = clean * p[0] + toxic * p[2], clean * p[1] + toxic * p[3]
+            else:
+                steps.append((1.0, 0.0, 0.0, 1.0))
+            toxic *= e
+            total = clean + toxic
+            clean, toxic = clean / total, toxic / total
+            forward.append((clean, toxic))
+        p = self.power(n - 1 - at[-1])
+        x, y = p[0] + p[1], p[2] + p[3]
+        out = np.zeros(len(at))
+        for k in range(len(at) - 1, -1, -1):
+            a, b = forward[k][0] * x, forward[k][1] * y
+            out[k] = b / (a + b)
+            y *= emit[k]
+            p = steps[k]
+            x, y = p[0] * x + p[1] * y, p[2] * x + p[3] * y
+            total = x + y
+            x, y = x / total, y / total
+        return out
+
+
 def marginals(model: Model, n: int, at: list[int], ids: list[list[int]]) -> np.ndarray:
-    """P(toxic) of the tokens `at` among n, the others having no features."""
-    step = np.exp(model.transition)
-    plain = np.array([1.0, math.exp(model.emission[-1])])
-    blank = step * plain
-    powers = [np.eye(2)]
-    for _ in range(FORGET):
-        p = powers[-1] @ blank
-        powers.append(p / p.sum())
-
-    def across(k: int) -> np.ndarray:  # over k tokens without features, then into the next token
-        return powers[min(k, FORGET)] @ step
-
-    emit = [np.array([1.0, math.exp(min(50.0, model.emission[-1] + sum(model.emission[i] for i in x)))]) for x in ids]
-    start = np.exp(model.start)
-    forward: list[np.ndarray] = []
-    for k, (pos, e) in enumerate(zip(at, emit, strict=True)):
-        if k == 0:
-            v = start if pos == 0 else (start * plain) @ across(pos - 1)
-        else:
-            v = forward[-1] @ across(pos - at[k - 1] - 1)
-        v = v * e
-        forward.append(v / v.sum())
-    v = powers[min(n - 1 - at[-1], FORGET)] @ np.ones(2)
-    out = np.zeros(len(at))
-    for k in range(len(at) - 1, -1, -1):
-        both = forward[k] * v
-        out[k] = both[1] / both.sum()
-        if k:
-            v = across(at[k] - at[k - 1] - 1) @ (emit[k] * v)
-            v /= v.sum()
-    return out
+    return Chain(model).marginals(n, at, ids)
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,11 +172,11 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from flush()
 
 
-def _fit_chain(windows: list[list[list[int]]], labels: list[list[int]], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emission, transition and start by Adam on the conditional log likelihood of padded windows."""
+def _fit_chain(windows: list[list[list[int]]], labels: list[list[int]], counts: list[int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emission, transition and start by Adam on the conditional log likelihood of padded windows, each counted so many times."""
     steps = max(map(len, windows))
     most = max((len(x) for w in windows for x in w), default=1) or 1
-    n = len(windows)
+    n, times, total = len(windows), np.array(counts, float), float(sum(counts))
     ids = np.full((n, steps, most), size + 1)  # size is the bias, size + 1 adds nothing
     y, here = np.zeros((n, steps), int), np.zeros((n, steps), bool)
     for i, (w, lab) in enumerate(zip(windows, labels, strict=True)):
@@ -159,16 +203,16 @@ def _fit_chain(windows: list[list[list[int]]], labels: list[list[int]], size: in
             b[:, t] = np.where(live[:, None], v / v.sum(axis=1, keepdims=True), 1.0)
             joint = f[:, t, :, None] * a * ahead[:, None, :]
             joint = joint[live] / joint[live].sum(axis=(1, 2), keepdims=True)
-            gt -= joint.sum(axis=0)
-            np.add.at(gt, (y[live, t], y[live, t + 1]), 1)
+            gt -= (joint * times[live, None, None]).sum(axis=0)
+            np.add.at(gt, (y[live, t], y[live, t + 1]), times[live])
         g = f * b
         g /= g.sum(axis=2, keepdims=True)
-        miss = np.where(here, y - g[:, :, 1], 0)
+        miss = np.where(here, y - g[:, :, 1], 0) * times[:, None]
         gw = np.bincount(ids.ravel(), np.repeat(miss.ravel(), most), size + 2)
         gw[size] = miss.sum()
         gw[size + 1] = 0
-        gs = np.bincount(y[:, 0], minlength=2) - g[:, 0].sum(axis=0)
-        grads = [gw / n - 1e-3 * w, gt / n - 1e-3 * trans, gs / n - 1e-3 * start]
+        gs = np.bincount(y[:, 0], times, minlength=2) - (g[:, 0] * times[:, None]).sum(axis=0)
+        grads = [gw / total - 1e-3 * w, gt / total - 1e-3 * trans, gs / total - 1e-3 * start]
         moment = [0.1 * x for x in grads] if moment is None else [0.9 * m + 0.1 * x for m, x in zip(moment, grads, strict=True)]
         square = [0.01 * x * x for x in grads] if square is None else [0.99 * s + 0.01 * x * x for s, x in zip(square, grads, strict=True)]
         for p, m, s in zip(params, moment, square, strict=True):
@@ -216,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     odds = F.log((F.col("bad") + 0.5) / (n[1] - F.col("bad") + 0.5)) - F.log((F.col("good") + 0.5) / (n[0] - F.col("good") + 0.5))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
     best = both.where(F.col("bad") >= LEAST_DOCS).select("feature", odds.alias("odds"), (odds / error).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_LOG_ODDS))
-    kept = sorted(r["feature"] for r in best.orderBy(F.desc("z"), "feature").limit(FEATURES).collect())
+    kept = sorted(r["feature"] for r in best.select("feature").collect())
     model = Model(index={f: i for i, f in enumerate(kept)})
     if not kept:
         return model
@@ -225,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
+            for text, toxic in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic")), strict=True):
                 total, found = tokens_with_features(text or "", model, first)
                 at = {k: x for k, _, _, x in found}
                 centres = [k for k, *_ in found] or ([total // 2] if total else [])
@@ -233,12 +277,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 for k in centres:
                     if k > done:  # windows don't overlap
                         lo, done = max(done + 1, k - CONTEXT), min(total - 1, k + CONTEXT)
-                        out.append((doc, toxic, [at.get(t, []) for t in range(lo, done + 1)]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.list_(pa.list_(pa.int32())))], ["doc_id", "toxic", "ids"])
+                        out.append((toxic, [at.get(t, []) for t in range(lo, done + 1)]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.list_(pa.int32())))], ["toxic", "ids"])
 
-    got = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(windows, "doc_id long, toxic int, ids array<array<int>>").orderBy(F.xxhash64("doc_id", "ids")).limit(WINDOWS).collect()
+    got = sample.select("text", "toxic").mapInArrow(windows, "toxic int, ids array<array<int>>").groupBy("toxic", "ids").agg(F.count("*").alias("n")).collect()
+    got.sort(key=lambda r: (r["toxic"], r["ids"]))
     chains = [[list(x) for x in r["ids"]] for r in got]
-    model.emission, model.transition, model.start = _fit_chain(chains, [[int(r["toxic"] and len(x) > 0) for x in w] for r, w in zip(got, chains, strict=True)], size)
+    labels_ = [[int(r["toxic"] and len(x) > 0) for x in w] for r, w in zip(got, chains, strict=True)]
+    model.emission, model.transition, model.start = _fit_chain(chains, labels_, [r["n"] for r in got], size)
     pairs = _scan(sample.withColumn("held_out", F.lit(False)), model, "toxic").select("toxic", "expected", "largest").toPandas()
     model.document = _logistic(pairs[["expected", "largest"]].to_numpy(), pairs["toxic"].to_numpy())
     return model
@@ -247,14 +293,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def _scan(docs: DataFrame, model: Model, keep: str) -> DataFrame:
     """keep: a column handed through."""
     small_batches(docs.sparkSession)
-    first = model.starts()
+    first, chain = model.starts(), Chain(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             expected, largest, spans, counts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 n, found = tokens_with_features(text or "", model, first)
-                p = marginals(model, n, [x[0] for x in found], [x[3] for x in found]) if found else np.zeros(0)
+                p = chain.marginals(n, [x[0] for x in found], [x[3] for x in found]) if found else np.zeros(0)
                 a, b = summary(p)
                 expected.append(a)
                 largest.append(b)

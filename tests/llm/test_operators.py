@@ -77,7 +77,7 @@ def test_toxicity(spark):
 
 
 def test_toxicity_without_labels(spark):
-    d = docs(spark, ["a b", None])
+    d = docs(spark, ["a b", None]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in toxicity.detect(d, none).collect()] == [0.0, 0.0]
     assert toxicity.detect(d.limit(0), none).count() == 0
@@ -98,6 +98,25 @@ def test_chain_marginals_equal_enumeration():
     assert toxicity.marginals(m, n, at, ids) == pytest.approx((hit / total)[at])
 
 
+def test_chain_marginals_over_long_gaps():
+    """Against forward-backward over every token; a chain that remembers for hundreds of tokens."""
+    m = toxicity.Model(index={"=a": 0, "=b": 1}, emission=np.array([3.0, -2.0, 0.0]), transition=np.array([[6.0, 0.0], [0.0, 6.0]]), start=np.array([0.3, -0.2]))
+    for n, at, ids in ((1200, [5, 405, 410, 1100], [[0], [1], [0, 1], [0]]), (900, [0, 899], [[0], [1]])):
+        u = np.zeros(n)
+        for t, x in zip(at, ids, strict=True):
+            u[t] = m.emission[x].sum()
+        e, a = np.stack([np.ones(n), np.exp(u)], axis=1), np.exp(m.transition)
+        f, b = np.zeros((n, 2)), np.ones((n, 2))
+        for t in range(n):
+            f[t] = (np.exp(m.start) if t == 0 else f[t - 1] @ a) * e[t]
+            f[t] /= f[t].sum()
+        for t in range(n - 2, -1, -1):
+            b[t] = a @ (e[t + 1] * b[t + 1])
+            b[t] /= b[t].sum()
+        p = f * b / (f * b).sum(axis=1, keepdims=True)
+        assert toxicity.marginals(m, n, at, ids) == pytest.approx(p[at, 1], abs=1e-9)
+
+
 # 2 sanitisation
 
 
