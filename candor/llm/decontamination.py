@@ -1,37 +1,42 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 A window of a document is as long as the benchmark item it is compared with. Windows and items have 64-bit SimHash
-fingerprints over weighted five-word shingles. Each fingerprint is cut into RADIUS + 1 blocks; two within Hamming distance RADIUS agree in
-at least one block, so the block index finds all of them. Candidates are verified by the exact weighted Jaccard
-similarity of their shingle sets, and count from SIMILARITY.
+fingerprints over weighted five-word shingles; an item of fewer words is one shingle. Each fingerprint is cut into RADIUS + 1
+blocks; two within Hamming distance RADIUS agree in at least one block, so the block index of the items of a window's length
+finds all of them. Candidates are verified by the exact weighted Jaccard similarity of their shingle sets, and count from
+SIMILARITY.
 
 Fingerprints are made of the windows that can count, wherever they begin: the similarity is at most the weight of the distinct
-shingles that the window shares with the item, over the weight of the item, so windows with less than SIMILARITY of the item's weight
-in common are left out. Each start whose window holds a shared shingle is tried, whatever the order of the shared passages.
+shingles that the window shares with an item, over the weight of the item, so windows with less than SIMILARITY of some item's
+weight in common are left out. Each start whose window holds a shared shingle is tried, whatever the order of the shared passages.
 Fingerprinting all windows of every length gives the same result for some 64 sums per word and item length.
 
 A shingle weighs log(1 + items / items that have it), scaled to 1 for a shingle of one item, so phrases that many
 items share tell little; shingles of no item weigh 1.
 
+Texts, of items too, are told apart by 128 bits of hash, not by their ids: copies are searched once, and ids may be null or repeated.
 Benchmark tables are broadcast up to BROADCAST_ROWS rows and joined by a shuffle beyond.
 
-Cases: null and empty texts and texts of fewer than five words are clean; items of fewer than five words, null items
-and null item ids take no part; a repeated item_id counts once, with its first text in order; rows that repeat doc_id share
-the result of all of them; a document shorter than an item is compared as a whole; an empty benchmark leaves all
+Cases: null and empty texts and texts with fewer words than an item's shingle are clean; null and wordless items take no part;
+items without an id are searched like others but not listed; each text of a repeated item_id is searched; a null doc_id has a
+result like any other; a document shorter than an item is compared as a whole; an empty benchmark leaves all
 documents clean; other columns are left aside. Ties: the list of items is sorted.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candor.llm.common import staged
-from candor.llm.native import shingle_hashes
+from candor.llm.native import bound, shingle_hashes, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Shingle sets of similarity 0.8 have cosine 0.89: 9.7 of 64 bits differ on average, standard deviation 2.9.
-RADIUS = 20
+#: Shingle sets of similarity 0.8 have cosine 0.89: 9.7 of 64 bits differ on average, standard deviation 2.9. In a simulation of
+#: 20,000 pairs of exactly that similarity for each of ten lengths, at most one in 20,000 differed by more than 24 bits.
+RADIUS = 24
 BROADCAST_ROWS = 1_000_000
 
 
@@ -75,56 +80,90 @@ def _starts(places: Column, n: Column, m: Column, needed: Column) -> Column:
     return F.flatten(F.transform(places, of))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start (word), similarity of each verified window; one per start."""
-    items = benchmark.where("item_id is not null and text is not null").groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
-    items = items.select("item_id", shingle_hashes(F.col("text"), SHINGLE).alias("h")).where("size(h) > 0")
-    places = staged(items.select("item_id", F.size("h").alias("n"), F.posexplode("h").alias("off", "h")), "items")
-    total = places.select("item_id").distinct().count()
-    share = F.log(1 + total / F.countDistinct("item_id")) / F.log(F.lit(1.0 + total))
+def _text(df: DataFrame) -> Column:
+    return df["text"].cast("string")
+
+
+def _keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """it (number of a distinct text), text, k (words of a shingle), h (hashes of its shingles, by place)."""
+    items = benchmark.select(_text(benchmark).alias("text")).where("text is not null").distinct().withColumn("k", F.least(F.size(words(F.col("text"))), F.lit(SHINGLE))).where("k > 0")
+    hashes = F.coalesce(*(F.when(F.col("k") == k, shingle_hashes(F.col("text"), k)) for k in range(1, SHINGLE + 1)))
+    return staged(items.select(F.monotonically_increasing_id().alias("it"), "text", "k", hashes.alias("h")), "items")
+
+
+def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """t1, t2 (a document's text), it, start (word), similarity of each verified window; one per start."""
+    places = items.select("it", "k", F.size("h").alias("n"), F.posexplode("h").alias("off", "h"))
+    total = items.count()
+    share = F.log(1 + total / F.countDistinct("it")) / F.log(F.lit(1.0 + total))
     weights = staged(places.groupBy("h").agg(share.alias("w")), "weights")
-    items = places.join(weights, "h").groupBy("item_id", "n").agg(F.collect_set(F.struct("h", "w")).alias("s"))
-    items = staged(items.select("item_id", "n", "s", blocks(fingerprint(F.col("s.h"), F.col("s.w"))).alias("blocks"), fingerprint(F.col("s.h"), F.col("s.w")).alias("fp")), "fingerprints")
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = rows.select("doc_id", F.xxhash64("text").alias("tk"), shingle_hashes(F.col("text"), SHINGLE).alias("hs"))
-    sought = staged(places.join(weights, "h").select("item_id", "n", "h", "w").distinct(), "sought")
-    needed = sought.groupBy("item_id").agg((F.sum("w") * SIMILARITY - 1e-9).alias("needed"))
-    shared = hashed.select("doc_id", "tk", F.size("hs").alias("m"), F.posexplode("hs").alias("pos", "h")).join(_checked(sought), "h")
-    pairs = shared.distinct().groupBy("doc_id", "tk", "item_id", "n", "m").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "w"))).alias("p"))
-    pairs = pairs.join(_checked(needed), "item_id").where(_shared_weight(F.col("p")) >= F.col("needed"))
-    seeds = pairs.withColumn("start", F.explode(_starts(F.col("p"), F.col("n"), F.col("m"), F.col("needed"))))
-    seeds = seeds.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("item_id", "n", "start")).alias("seeds"))
-    seeds = staged(seeds, "seeds")
-    found = rows.withColumn("tk", F.xxhash64("text")).join(_checked(seeds), ["doc_id", "tk"])
-    found = found.select("doc_id", "seeds", shingle_hashes(F.col("text"), SHINGLE).alias("hs")).select("doc_id", F.explode("seeds").alias("x"), "hs")
-    windows = found.select("doc_id", "x.item_id", "x.start", F.array_distinct(F.slice("hs", F.col("x.start") + 1, F.col("x.n"))).alias("w")).distinct()
-    # weights of a window's shingles are those of the item where it has them
-    windows = staged(windows.withColumn("win", F.monotonically_increasing_id()), "windows")
-    weighed = windows.select("win", F.explode("w").alias("h")).join(_checked(weights), "h", "left").groupBy("win").agg(F.collect_list(F.struct("h", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("s"))
-    prints = weighed.select("win", F.col("s").alias("ws"), fingerprint(F.col("s.h"), F.col("s.w")).alias("wfp")).join(windows.select("win", "doc_id", "item_id", "start"), "win")
+    prints_of = places.join(weights, "h").groupBy("it", "k", "n").agg(F.collect_set(F.struct("h", "w")).alias("s"))
+    known = staged(prints_of.select("it", "k", "n", "s", fingerprint(F.col("s.h"), F.col("s.w")).alias("fp")), "fingerprints")
+    sought = staged(known.select("it", "k", "n", F.inline("s")), "sought")
+    needed = sought.groupBy("it").agg((F.sum("w") * SIMILARITY - 1e-9).alias("needed"))
+
+    rows = docs.select(_text(docs).alias("text")).select(*_keys(F.col("text")), "text")
+    windows = []
+    for k in sorted(r["k"] for r in items.select("k").distinct().collect()):
+        hashed = rows.select("t1", "t2", shingle_hashes(F.col("text"), k).alias("hs"))
+        shared = hashed.select("t1", "t2", F.size("hs").alias("m"), F.posexplode("hs").alias("pos", "h")).join(_checked(sought.where(F.col("k") == k)), "h")
+        pairs = shared.distinct().groupBy("t1", "t2", "it", "n", "m").agg(F.array_sort(F.collect_list(F.struct("pos", "h", "w"))).alias("p"))
+        pairs = pairs.join(_checked(needed), "it").where(_shared_weight(F.col("p")) >= F.col("needed"))
+        seeds = pairs.select("t1", "t2", "n", F.explode(_starts(F.col("p"), F.col("n"), F.col("m"), F.col("needed"))).alias("start")).distinct()
+        seeds = staged(seeds.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "n")).alias("seeds")), "seeds")
+        found = rows.join(_checked(seeds), ["t1", "t2"]).groupBy("t1", "t2").agg(F.any_value("text").alias("text"), F.any_value("seeds").alias("seeds"))
+        cut = lambda hs: F.transform("seeds", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.array_distinct(F.slice(hs, x["start"] + 1, x["n"])).alias("w")))
+        windows.append(found.select("t1", "t2", F.lit(k).alias("k"), F.inline(bound(shingle_hashes(F.col("text"), k), cut))))
+    if not windows:
+        return known.select(F.lit(0).cast("long").alias("t1"), F.lit(0).cast("long").alias("t2"), "it", F.lit(0).alias("start"), F.lit(0.0).alias("similarity")).where("false")
+    windows = staged(reduce(DataFrame.unionByName, windows).withColumn("win", F.monotonically_increasing_id()), "windows")
+    # weights of a window's shingles are those of the items where these have them
+    weighed = windows.select("win", F.explode("w").alias("h")).join(_checked(weights), "h", "left").groupBy("win").agg(F.collect_list(F.struct("h", F.coalesce("w", F.lit(1.0)).alias("w"))).alias("ws"))
+    prints = weighed.select("win", "ws", fingerprint(F.col("ws.h"), F.col("ws.w")).alias("wfp")).join(windows.drop("w"), "win")
     prints = staged(prints, "prints")
-    index = items.select("item_id", F.inline("blocks"))
-    hits = prints.select("win", "item_id", F.inline(blocks(F.col("wfp")))).join(_checked(index), ["item_id", "block", "bits"]).select("win", "item_id").distinct()
-    near = prints.join(hits, ["win", "item_id"]).join(_checked(items.select("item_id", "s", "fp")), "item_id").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp"))) <= RADIUS)
+    index = known.select("it", "k", "n", F.inline(blocks(F.col("fp"))))
+    hits = prints.select("win", "k", "n", F.inline(blocks(F.col("wfp")))).join(_checked(index), ["k", "n", "block", "bits"]).select("win", "it").distinct()
+    near = prints.drop("k", "n").join(hits, "win").join(_checked(known), "it").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("wfp"))) <= RADIUS)
     weight = lambda s: F.aggregate(s, F.lit(0.0), lambda acc, x: acc + x["w"])
     common = weight(F.filter("s", lambda x: F.array_contains(F.col("ws.h"), x["h"])))
     similar = common / (weight(F.col("s")) + weight(F.col("ws")) - common)
-    return near.select("doc_id", "item_id", "start", similar.alias("similarity")).where(F.col("similarity") >= SIMILARITY - 1e-9)
+    return near.select("t1", "t2", "it", "start", similar.alias("similarity")).where(F.col("similarity") >= SIMILARITY - 1e-9)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """t1, t2, start, similarity and ids, the item_ids of the item found."""
+    items = _items(benchmark)
+    named = benchmark.select(_text(benchmark).alias("text"), benchmark["item_id"].cast("long").alias("item_id")).join(items.select("it", "text"), "text")
+    named = named.groupBy("it").agg(F.collect_set("item_id").alias("ids"))
+    return staged(_windows(docs, items).join(_checked(staged(named, "named")), "it"), "found")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, start (word), similarity of each verified window; one per start and item_id."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_keys(_text(docs)))
+    found = rows.join(_checked(_found(docs, benchmark)), ["t1", "t2"])
+    return found.select("doc_id", F.explode("ids").alias("item_id"), "start", "similarity").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, items (sorted), similarity (largest), for documents that hold an item."""
-    return matches(docs, benchmark).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("similarity").alias("similarity"))
+def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """t1, t2, items (sorted), similarity (largest), for texts that hold an item."""
+    found = _found(docs, benchmark).groupBy("t1", "t2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.max("similarity").alias("similarity"))
+    return staged(found, "contaminated")
 
 
 def check(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, items, similarity of every row of docs."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(contaminated(docs, benchmark), "doc_id", "left")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *_keys(_text(docs)))
+    out = rows.join(_checked(_contaminated(docs, benchmark)), ["t1", "t2"], "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    bad = staged(contaminated(docs, benchmark).select("doc_id"), "contaminated")
-    return docs.join(_checked(bad), docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
+    bad = _contaminated(docs, benchmark).select("t1", "t2")
+    t1, t2 = _keys(_text(docs))
+    return docs.join(_checked(bad), (t1 == bad["t1"]) & (t2 == bad["t2"]), "left_anti")

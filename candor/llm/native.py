@@ -23,7 +23,10 @@ def words(text: Column) -> Column:
 def shingle_hashes(text: Column, k: int) -> Column:
     """64-bit hashes of each k consecutive words, by place."""
     hashed = F.transform(words(text), lambda w: F.xxhash64(w))
-    return bound(hashed, lambda h: F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(1), F.size(h) - k + 1), lambda i: F.xxhash64(F.slice(h, i, k)))).otherwise(F.array().cast("array<bigint>")))
+    # the words of a shingle one by one: cutting them out as an array costs several times as much
+    shingle = lambda h: lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(k)))
+    none = F.array().cast("array<bigint>")
+    return bound(hashed, lambda h: F.when(F.size(h) >= k, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), shingle(h))).otherwise(none))
 
 
 def occurrences(text: Column, pattern: Column | str) -> Column:

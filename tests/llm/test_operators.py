@@ -316,8 +316,13 @@ def test_decontamination(spark):
     half = " ".join(items[2].split()[:12])
     texts = [prose(rng, 50) + " " + items[0] + " " + prose(rng, 50), items[1].upper(), "x " + " ".join(near), half + " " + prose(rng, 60), prose(rng, 200), None, "", "a b", items[0] + " " + items[1], "too short item", items[1] + " " + prose(rng, 4000)]
     out = {r["doc_id"]: r["items"] for r in decontamination.check(clashing(docs(spark, texts)), bench).collect()}
-    assert out == {0: [0], 1: [1], 2: [3], 3: [], 4: [], 5: [], 6: [], 7: [], 8: [0, 1], 9: [], 10: [1]}
-    assert sorted(r["doc_id"] for r in decontamination.clean(docs(spark, texts), bench).collect()) == [3, 4, 5, 6, 7, 9]
+    assert out == {0: [0], 1: [1], 2: [3], 3: [], 4: [], 5: [], 6: [], 7: [], 8: [0, 1], 9: [4], 10: [1]}
+    assert sorted(r["doc_id"] for r in decontamination.clean(docs(spark, texts), bench).collect()) == [3, 4, 5, 6, 7]
+    odd = spark.createDataFrame([(None, items[0]), (7, items[1]), (7, items[2]), (8, "")], "item_id long, text string")
+    unnamed = clashing(docs(spark, texts)).withColumns({"doc_id": F.lit(None).cast("long"), "t1": F.lit(1), "k": F.lit(2)})
+    assert sorted(r["n_items"] for r in decontamination.check(unnamed, odd).collect() if r["contaminated"]) == [0, 1, 1, 1]
+    kept = decontamination.clean(unnamed, odd)
+    assert kept.columns == unnamed.columns and kept.count() == len(texts) - 4
     assert not any(r["contaminated"] for r in decontamination.check(docs(spark, texts), bench.limit(0)).collect())
 
 
