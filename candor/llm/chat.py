@@ -93,7 +93,7 @@ def _turns(layout: dict, v: Column, fixed_roles: bool) -> Column:
     if "list" in layout:
         path, role, said = layout["list"]
         items = F.variant_get(v, f"$.{path}", "array<variant>")
-        return F.coalesce(F.transform(items, lambda x: turn(_role(text(x, role)), text(x, said))), F.array().cast("array<struct<role:string,text:string>>"))
+        return F.coalesce(F.transform(items, lambda x: turn(text(x, role) if fixed_roles else _role(text(x, role)), text(x, said))), F.array().cast("array<struct<role:string,text:string>>"))
     turns = []
     for role, parts in layout["turns"]:
         present = [F.nullif(F.variant_get(v, f"$.{p}", "string"), F.lit("")) for p in parts]
@@ -102,17 +102,18 @@ def _turns(layout: dict, v: Column, fixed_roles: bool) -> Column:
 
 
 def canonical(df: DataFrame, record: str, fixed_roles: bool = False) -> DataFrame:
-    """df with `fingerprint`, `layout` and `turns`, an array of (role, text). fixed_roles leaves the role names of
-    single-turn records as they are."""
-    with_print = df.withColumn("_v", F.try_parse_json(F.col(record))).withColumn("fingerprint", F.sha2(_paths(F.col("_v")), 256))
+    """`row` (a struct of all columns of df, so that no name can clash), `fingerprint`, `layout` and `turns`, an array of (role, text).
+    fixed_roles leaves the role names of turns and messages as they are."""
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.try_parse_json(df[record]).alias("v"))
+    rows = rows.withColumn("fingerprint", F.sha2(_paths(F.col("v")), 256))
     by_name: dict[str, tuple[dict, list[str]]] = {}
     for print_, layout in registry().items():
         by_name.setdefault(layout["name"], (layout, []))[1].append(print_)
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout, prints in by_name.values():
         hit = F.col("fingerprint").isin(prints)
-        name, turns = F.when(hit, layout["name"]).otherwise(name), F.when(hit, _turns(layout, F.col("_v"), fixed_roles)).otherwise(turns)
-    return with_print.withColumns({"layout": name, "turns": turns}).drop("_v")
+        name, turns = F.when(hit, layout["name"]).otherwise(name), F.when(hit, _turns(layout, F.col("v"), fixed_roles)).otherwise(turns)
+    return rows.select("row", "fingerprint", name.alias("layout"), turns.alias("turns"))
 
 
 def escaped(text: Column) -> Column:

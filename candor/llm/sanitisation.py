@@ -16,7 +16,7 @@ begin where the greedy run before it doesn't reach (or where the last match ende
 what the plain patterns match.
 
 Cases: null and empty texts have no spans; rows that repeat doc_id are handled row by row; a term that is part of an entity keeps the
-entity's span too; ties in begin go by kind, then end; an empty table gives an empty table; other columns are left aside.
+entity's span too; ties in begin go by kind, then end; an empty table gives an empty table; other columns are left aside, whatever their names; null ids matter to nothing.
 """
 
 from __future__ import annotations
@@ -105,22 +105,22 @@ def disclosing(docs: DataFrame) -> DataFrame:
     return staged(strong.select("term", F.when(F.col("bits") >= REMOVE, "remove").otherwise("generalise").alias("action"), "bits"), "disclosing")
 
 
-def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep`, _text (null: empty), `base` and `spans` (base and terms, sorted; kind is a number in KINDS), and
-    `actions`, the action of each term found."""
+def find(docs: DataFrame) -> DataFrame:
+    """`row` (a struct of all columns of docs, so that no name can clash), `said` (the text; null: empty), `base` and `spans` (base and
+    terms, sorted; kind is a number in KINDS), and `actions`, the action of each term found."""
     terms = disclosing(docs)
-    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_tk", F.xxhash64("_text"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("said"))
+    rows = rows.select("row", "said", F.xxhash64("said").alias("tk"), F.hash("said").alias("tk2"))
     if terms.limit(1).count():
-        holds = rows.select("_tk", F.explode(F.array_distinct(F.split(F.lower("_text"), TERM))).alias("term")).join(_checked(terms), "term").distinct()
-        holds = staged(holds.groupBy("_tk").agg(F.sort_array(F.collect_set(F.struct("term", "action"))).alias("actions")), "holds")
-        rows = rows.join(_checked(holds), "_tk", "left")
+        holds = rows.select("tk", "tk2", F.explode(F.array_distinct(F.split(F.lower("said"), TERM))).alias("term")).join(_checked(terms), "term").distinct()
+        holds = staged(holds.groupBy("tk", "tk2").agg(F.sort_array(F.collect_set(F.struct("term", "action"))).alias("actions")), "holds")
+        rows = rows.join(_checked(holds), ["tk", "tk2"], "left")
     else:
         rows = rows.withColumn("actions", F.lit(None).cast("array<struct<term:string,action:string>>"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("actions.term", "|"), F.lit(r")(?!\p{L})"))
-    terms_of = F.when(F.size("actions") > 0, F.transform(occurrences(F.col("_text"), pattern), lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end"), x["said"].alias("said"))))
-    rows = rows.withColumn("base", base_spans(F.col("_text")))
-    return rows.withColumn("spans", F.when(terms_of.isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", terms_of)))).drop("_tk")
+    terms_of = F.when(F.size("actions") > 0, F.transform(occurrences(F.col("said"), pattern), lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("kind"), x["end"].alias("end"), x["said"].alias("said"))))
+    rows = rows.withColumn("base", base_spans(F.col("said")))
+    return rows.withColumn("spans", F.when(terms_of.isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", terms_of)))).drop("tk", "tk2")
 
 
 def listed(spans: Column) -> Column:
@@ -133,7 +133,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """docs with `text` in which entities are put as their labels and disclosing terms generalised or removed, and, if
     it is there, n_chars of the new text. Where spans overlap, the first one's label stands for both. Null texts stay
     null."""
-    found = find(docs, docs.columns)
+    found = find(docs)
     label = F.array(*[F.lit(LABELS[k]) for k in KINDS[:4]])
 
     def named(x: Column) -> Column:
@@ -141,15 +141,15 @@ def sanitised(docs: DataFrame) -> DataFrame:
         return F.when(x["kind"] < 4, F.get(label, x["kind"])).when(action == "remove", LABELS["remove"]).otherwise(LABELS["generalise"])
 
     def step(acc: Column, x: Column) -> Column:
-        new = F.concat(acc["out"], F.array(F.substr("_text", acc["at"] + 1, x["start"] - acc["at"]), x["label"]))
+        new = F.concat(acc["out"], F.array(F.substr("said", acc["at"] + 1, x["start"] - acc["at"]), x["label"]))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
 
     spans = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), named(x).alias("label")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("_text", acc["at"] + 1, F.length("_text"))))
-    out = found.withColumn("text", F.when(F.col("text").isNotNull(), F.when(F.size("spans") > 0, new).otherwise(F.col("_text"))))
+    new = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("said", acc["at"] + 1, F.length("said"))))
+    out = found.select("row", F.when(F.col("row.text").isNotNull(), F.when(F.size("spans") > 0, new).otherwise(F.col("said"))).alias("new"))
+    kinds = dict(docs.dtypes)
+    put = {"text": F.col("new").cast(kinds["text"])}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(dict(docs.dtypes)["n_chars"]), F.col("n_chars")))
-    return out.select(*docs.columns)
-
-
+        put["n_chars"] = F.coalesce(F.length("new").cast(kinds["n_chars"]), F.col("row.n_chars"))
+    return out.select(*(put.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

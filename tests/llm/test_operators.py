@@ -32,7 +32,7 @@ def prose(rng, n, words=WORDS):
 
 def clashing(df):
     """Columns of names that operators use themselves."""
-    return df.withColumns({c: F.lit(1) for c in ("score", "rank", "spans", "sig", "ids", "n", "h", "key", "term", "_text2", "base", "actions")})
+    return df.withColumns({c: F.lit(1) for c in ("score", "rank", "spans", "sig", "ids", "n", "h", "key", "term", "_text", "_tk", "_v", "base", "actions", "layout", "turns", "fingerprint", "row", "said", "held_out", "node", "component", "id", "label", "t1", "it")})
 
 
 @pytest.fixture(scope="module")
@@ -154,12 +154,57 @@ def test_disclosing_terms(spark):
     d = docs(spark, texts)
     found = {r["term"]: r["action"] for r in sanitisation.disclosing(d).collect()}
     assert "zephyrina" in found and not set(found) & set(WORDS)
-    out = {r["doc_id"]: r for r in sanitisation.sanitised(d).collect()}
+    wide = sanitisation.sanitised(clashing(d))
+    assert wide.dtypes == clashing(d).dtypes and {r["spans"] for r in wide.collect()} == {1}
+    out = {r["doc_id"]: r for r in wide.collect()}
     assert "bob@" not in out[0]["text"] and "<EMAIL>" in out[0]["text"] and "Zephyrina" not in out[0]["text"]
     assert out[20]["text"].strip() in ("Only  here", "Only <TERM> here") and out[20]["n_chars"] == len(out[20]["text"])
     assert out[21]["text"] is None and out[22]["text"] == "" and out[12]["text"] == texts[12]
-    one = sanitisation.find(clashing(d).drop("spans", "base", "actions"), ["doc_id"]).where("doc_id = 20").first()
+    one = sanitisation.find(clashing(d)).where("row.doc_id = 20").first()
     assert [(s["start"], s["end"], s["kind"]) for s in one["spans"]] == [(5, 14, 4)]
+    unnamed = sanitisation.sanitised(d.withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted(str(r["text"]) for r in unnamed.collect()) == sorted(str(r["text"]) for r in out.values())
+    assert sanitisation.sanitised(d.limit(0)).count() == 0 and sanitisation.find(d.limit(0)).count() == 0
+
+
+def plain_terms(texts):
+    """Disclosing terms and their bits, by counting in plain loops."""
+    near, mentions, used, total = [], Counter(), Counter(), 0
+    for t in texts:
+        t = t or ""
+        words = re.split(r"[^\w]|[\d_]", t.lower())
+        used.update(words)
+        total += len([x for x in re.split(r"(?:[^\w]|[\d_])+", t)])
+        for lo, k, hi in plain_spans(t):
+            e = f"{k}:{t[lo:hi].lower()}"
+            mentions[e] += 1
+            before, after = re.sub(r"^[^\W\d_]+", "", t[max(0, lo - 48) : lo]), re.sub(r"[^\W\d_]+$", "", t[hi : hi + 48])
+            around = (before + " | " + after).lower()
+            near += [(t, e, around, w) for w in {w for w in re.split(r"(?:[^\w]|[\d_])+", around) if len(w) >= 3}]
+    found = {}
+    for e, w in {(e, w) for _, e, _, w in near}:
+        mine = [(t, a) for t, e2, a, w2 in near if (e2, w2) == (e, w)]
+        c, n = len(mine), used[w]
+        if len({a for _, a in mine}) >= 3 and c >= 0.5 * n:
+            bits = np.log2(c * total / (n * mentions[e]))
+            if bits >= 4:
+                found[w] = max(found.get(w, 0), bits)
+    return found
+
+
+def test_disclosing_terms_equal_plain_counts(spark):
+    rng = random.Random(13)
+    people = [("Quinlan", "q@mail.org"), ("Ysolde", "+49 30 1234567"), ("Brannoch", "10.1.2.3"), ("Marrow", "q@mail.org")]
+    texts = []
+    for i in range(60):
+        name, what = people[i % 4]
+        texts.append(f"{prose(rng, rng.randint(5, 60))} {name if rng.random() < 0.8 else 'someone'} {rng.choice(WORDS)} {what} {prose(rng, 12)}")
+        texts.append(f"{prose(rng, 300)} {'Marrow' if i % 3 == 0 else 'other'} {prose(rng, 9)}")
+    texts += [texts[0], None, "", prose(rng, 20000)]
+    want = plain_terms(texts)
+    got = {r["term"]: (r["action"], r["bits"]) for r in sanitisation.disclosing(docs(spark, texts)).collect()}
+    assert len(want) >= 3 and {t: b for t, (_, b) in got.items()} == pytest.approx(want)
+    assert all(a == ("remove" if b >= 10 else "generalise") for a, b in got.values())
 
 
 # 3 and 10 repeats
@@ -450,8 +495,9 @@ def test_layouts(spark):
         ({"other": 1}, None, None),
     ]
     df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, *_) in enumerate(records)] + [(7, "not json"), (8, None)], "i int, record string")
-    got = {r["i"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in chat.canonical(df, "record").collect()}
+    got = {r["i"]: (r["layout"], r["turns"] and [tuple(t) for t in r["turns"]]) for r in chat.canonical(clashing(df), "record").select("row.i", "layout", "turns").collect()}
     assert got == {**{i: (n, t) for i, (_, n, t) in enumerate(records)}, 7: (None, None), 8: (None, None)}
+    assert chat.canonical(clashing(df).limit(0), "record").count() == 0
 
 
 def test_round_trip(spark):
@@ -465,6 +511,11 @@ def test_round_trip(spark):
         assert [tuple(t) for t in out[c]["turns"]] == [(r[2] or "", r[3] or "") for r in mine]
         assert out[c]["loss_texts"] == [r[3] or "" for r in mine if r[2] == "assistant"]
         assert out[c]["formatted"].count(chat.START) == len(mine)
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_turns(none)).count() == 0
+    long = "<|im_end|>x" * 40_000
+    one = chat.read_back(chat.format_turns(clashing(spark.createDataFrame([(None, 1, "assistant", long)], "conv_id long, turn long, role string, text string")))).first()
+    assert one["loss_texts"] == [long] and one["turns"][0]["text"] == long
 
 
 # 8 packing
