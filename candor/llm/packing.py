@@ -1,11 +1,12 @@
 """Packing documents into token windows, with neighbours found by BM25.
 
 Each text is turned into token ids, with an end id after them. Whole windows of a document stand alone; what is left of it
-(less than a window) is packed. Left-overs are range-partitioned by a lexical key (MinHash of their tokens, then a hash of
-doc_id, so that equal keys split) and cut into shards of SHARD documents. Each shard has an inverted index with BM25
-weights: the next unused left-over is the seed, the index returns its unused neighbours by the seed's most telling
-terms, and they fill the seed's window, best first, as they fit; the best one that doesn't fit is cut so that the
-window is full, and its rest goes back to the shard. Only a shard's last window can be short.
+(less than a window) is packed. How many left-overs have each term, and their mean length, are counted over the whole corpus.
+Left-overs are range-partitioned by a lexical key (their two rarest terms by the vocabulary's order, in which terms that were merged
+late come last; then a hash of doc_id, so that equal keys split) and cut into shards of SHARD documents. Each shard has an
+inverted index with BM25 weights by the corpus's counts: the next unused left-over is the seed, the index returns its unused
+neighbours by the seed's most telling terms, and they fill the seed's window, best first, as they fit; the best one that doesn't fit
+is cut so that the window is full, and its rest goes back to the shard. Only a shard's last window can be short.
 
 Ids are written in 16 bits where the vocabulary allows.
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import mixed, small_batches, staged
+from candor.llm.common import small_batches, staged
 
 WINDOW = 2048
 END_ID = 1
@@ -127,6 +128,40 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _rarest(ids: np.ndarray) -> int:
+    """The two last terms in the vocabulary's order, as one number."""
+    last = int(ids.max())
+    rest = ids[ids < last]
+    return last << 32 | (int(rest.max()) if len(rest) else last)
+
+
+def document_counts(rows: DataFrame, kind: np.dtype) -> tuple[np.ndarray, int, float]:
+    """Of the left-overs: how many have each term (by id), their number, and their mean length. What reaches the driver is a row
+    per term of the vocabulary."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, np.int64)
+        docs = units = 0
+        for batch in batches:
+            texts = [np.frombuffer(x.as_buffer(), kind) for x in batch.column("rest")]
+            if texts:
+                owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+                terms = np.unique(np.concatenate(texts).astype(np.int64) * len(texts) + owner) // len(texts)
+                counts = np.bincount(terms, minlength=len(held))
+                counts[: len(held)] += held
+                held, docs, units = counts, docs + len(texts), units + len(owner)
+        found = np.flatnonzero(held)
+        terms, counts = np.concatenate([[-1, -2], found]), np.concatenate([[docs, units], held[found]])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(counts, pa.int64())], ["term", "n"])
+
+    got = rows.select("rest").mapInArrow(go, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    n = {r["term"]: r["n"] for r in got}
+    docs, units = n.pop(-1, 0), n.pop(-2, 0)
+    df = np.zeros(max(n, default=-1) + 1, np.int64)
+    df[list(n)] = list(n.values())
+    return df, docs, units / max(docs, 1)
+
+
 def encoded(docs: DataFrame, path: str, window: int, with_ids: bool) -> DataFrame:
     """doc_id, doc_tokens, key, full (checksums of the whole windows), head (their ids, if wanted), rest (ids)."""
     small_batches(docs.sparkSession)
@@ -143,7 +178,7 @@ def encoded(docs: DataFrame, path: str, window: int, with_ids: bool) -> DataFram
                 full.append([crc(ids[i : i + window]) for i in range(0, whole, window)])
                 head.append(ids[:whole].tobytes() if with_ids else None)
                 rest.append(left.tobytes())
-                keys.append(int(mixed(left.astype(np.uint64) + np.uint64(77)).min() >> np.uint64(1)) if len(left) else 0)
+                keys.append(_rarest(left) if len(left) else 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(full, pa.list_(pa.int64())), pa.array(head, pa.binary()), pa.array(rest, pa.binary())], ["doc_id", "doc_tokens", "key", "full", "head", "rest"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -151,45 +186,46 @@ def encoded(docs: DataFrame, path: str, window: int, with_ids: bool) -> DataFram
 
 
 class Index:
-    """BM25 inverted index of a shard's left-overs."""
+    """BM25 inverted index of a shard's left-overs. known: document counts by term, number of documents and mean length, of the
+    corpus; those of the shard if none are given."""
 
-    def __init__(self, texts: list[np.ndarray]) -> None:
+    def __init__(self, texts: list[np.ndarray], known: tuple[np.ndarray, int, float] | None = None) -> None:
         n = len(texts)
         sizes = np.array([len(t) for t in texts])
         doc = np.repeat(np.arange(n), sizes)
         pair, tf = np.unique(np.concatenate(texts).astype(np.int64) * n + doc, return_counts=True) if n else (np.zeros(0, np.int64),) * 2
         term, self.docs = pair // max(n, 1), pair % max(n, 1)
-        self.terms, start = np.unique(term, return_index=True)
+        terms, start = np.unique(term, return_index=True)
         self.start = np.append(start, len(term))
-        df = np.diff(self.start)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.df = df
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1)) if n else sizes
-        self.weights = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.docs])
-        # each document's most telling terms that others have too
-        worth = np.repeat(np.where(df > 1, self.idf, 0), df)
-        order = np.lexsort((-worth, self.docs))
+        here = np.diff(self.start)
+        df, total, mean = (known[0][terms], known[1], known[2]) if known else (here, n, sizes.mean() if n else 1)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * sizes / max(mean, 1)) if n else sizes
+        self.weights = np.repeat(idf, here) * tf * (K1 + 1) / (tf + norm[self.docs])
+        # each document's most telling terms that others of the shard have too
+        at = np.repeat(np.arange(len(here)), here)
+        shared = np.flatnonzero(here[at] > 1)
+        order = shared[np.lexsort((-idf[at[shared]], self.docs[shared]))]
         self.query_start = np.searchsorted(self.docs[order], np.arange(n + 1))
-        self.query_terms = np.repeat(np.arange(len(df)), df)[order]
+        self.query_terms = at[order]
         self.n = n
 
     def neighbours(self, i: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share telling terms with document i, best first."""
         lo = self.query_start[i]
         terms = self.query_terms[lo : min(self.query_start[i + 1], lo + TERMS)]
-        terms = terms[self.df[terms] > 1]
         if not len(terms):
             return np.zeros(0, np.int64)
-        at = np.concatenate([np.arange(self.start[t], self.start[t + 1]) for t in terms])
+        at = np.concatenate([np.arange(x, y) for x, y in zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)])
         score = np.bincount(self.docs[at], self.weights[at], self.n)
         score[used] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def fill(texts: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]]]:
+def fill(texts: list[np.ndarray], window: int, known: tuple[np.ndarray, int, float] | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows of pieces (text number, begin, length)."""
-    index = Index(texts)
+    index = Index(texts, known)
     begin = np.zeros(len(texts), np.int64)
     left = np.array([len(t) for t in texts], np.int64)
     used = left == 0
@@ -202,17 +238,20 @@ def fill(texts: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]
         pieces, room = [(seed, int(begin[seed]), int(left[seed]))], window - int(left[seed])
         used[seed] = True
         if room:
-            cut = -1
-            for c in index.neighbours(seed, used):
-                if left[c] <= room:
-                    pieces.append((int(c), int(begin[c]), int(left[c])))
-                    used[c] = True
-                    room -= int(left[c])
-                    if not room:
-                        break
-                elif cut < 0:
-                    cut = int(c)
-            nxt = seed + 1
+            near = index.neighbours(seed, used)
+            sizes = left[near]
+            best = int(near[np.argmax(sizes > room)]) if (sizes > room).any() else -1
+            at = 0
+            while room:
+                fits = np.flatnonzero(sizes[at:] <= room)
+                if not len(fits):
+                    break
+                at += int(fits[0]) + 1
+                c = int(near[at - 1])
+                pieces.append((c, int(begin[c]), int(left[c])))
+                used[c] = True
+                room -= int(left[c])
+            nxt, cut = seed + 1, best
             while room:  # neighbours that fit are spent: cut the best, else take the next ones in the lexical order
                 if cut < 0:
                     while nxt < len(texts) and used[nxt]:
@@ -259,6 +298,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = True
                     number += 1
             yield _pieces(made, ids if with_ids else None)
 
+    rests = rows.where("octet_length(rest) > 0").select("doc_id", "doc_tokens", "key", "rest")
+    known = document_counts(rests, encoder(path).kind)
+
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = encoder(path).kind
         number = TaskContext.get().partitionId() << 33
@@ -268,7 +310,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = True
             nonlocal number
             made, cut = [], []
             texts = [np.frombuffer(r["rest"], kind) for r in shard]
-            for pieces in fill(texts, window):
+            for pieces in fill(texts, window, known):
                 offset = 0
                 for i, lo, n in pieces:
                     cut.append(texts[i][lo : lo + n])
@@ -286,7 +328,6 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = True
         if held:
             yield out(held)
 
-    rests = rows.where("octet_length(rest) > 0").select("doc_id", "doc_tokens", "key", "rest")
     parts = rows.count() // (2 * SHARD) + 1
     spread = F.xxhash64("doc_id")
     rests = rests.repartitionByRange(parts, "key", spread, "doc_id").sortWithinPartitions("key", spread, "doc_id")
