@@ -31,6 +31,11 @@ DIMENSIONS = 2048
 LETTERS = 80
 CUBE = LETTERS**3
 UNDETERMINED = "und"
+#: Languages that can be learnt at most; each takes 2 MB of the table that is broadcast. More are an error.
+MOST_LANGUAGES = 256
+#: Cosine with the best prototype under which a text is in none of the languages. Of held-out documents of a few words the least was
+#: 0.07; texts without any common letter sequence are about 0.
+LEAST_COSINE = 0.02
 #: How sharply cosines turn into a score.
 SHARPNESS = 24.0
 
@@ -123,18 +128,20 @@ def fit(train: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = train.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     got = rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["lang"].unique())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages to learn, {MOST_LANGUAGES} at most")
     grams, at = np.unique(got["gram"].to_numpy(np.int64), return_inverse=True)
     counts = np.zeros((len(langs), len(grams)))
     counts[np.searchsorted(np.array(langs, object), got["lang"].to_numpy(object)) if langs else [], at] = got["n"]
     return langs, prototypes(counts, grams) if langs else np.zeros((CUBE, 0), np.float32)
 
 
-def _scored(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the language of each text (that of the languages if none) and its score."""
+def _scored(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the language of each text (that of the languages if none), its score, and the cosine with its prototype."""
     n, known = len(texts), table.shape[1]
     grams, owner, lettered = trigrams([x or "" for x in texts])
     if not known:
-        return np.zeros(n, int), np.zeros(n)
+        return np.zeros(n, int), np.zeros(n), np.zeros(n)
     sums = np.stack([np.bincount(owner, table[grams, k], n) for k in range(known)], axis=1)
     pairs = np.sort(owner.astype(np.int64) * CUBE + grams)
     first = np.flatnonzero(np.diff(pairs, prepend=-1))
@@ -142,7 +149,7 @@ def _scored(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.
     norm = np.sqrt(DIMENSIONS * np.bincount(pairs[first] // CUBE, counts.astype(float) ** 2, n))
     cos = sums / np.maximum(norm, 1e-9)[:, None]
     e = np.exp(SHARPNESS * (cos - cos.max(axis=1, keepdims=True)))
-    return np.where(lettered, cos.argmax(axis=1), known), np.where(lettered, 1 / e.sum(axis=1), 0.0)
+    return np.where(lettered, cos.argmax(axis=1), known), np.where(lettered, 1 / e.sum(axis=1), 0.0), np.where(lettered, cos.max(axis=1), 0.0)
 
 
 def predict(docs: DataFrame, langs: list[str], dots: np.ndarray) -> DataFrame:
@@ -155,16 +162,17 @@ def predict(docs: DataFrame, langs: list[str], dots: np.ndarray) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                best, sure = _scored(part.column("text").to_pylist(), shared.value)
+                best, sure, _ = _scored(part.column("text").to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), names.take(pa.array(best)), pa.array(sure)], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", held_out(4, 2).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose language is determined with a score of `least` or more, with all their columns. If there
-    is nothing to learn from, nothing can be rejected."""
+def accepted(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
+    """The rows of docs whose text has a cosine of `least` or more with some language's prototype, with all their columns: a
+    bound on the fit of the text itself, whatever the number of languages. If there is nothing to learn from, nothing can be
+    rejected."""
     spark = docs.sparkSession
     small_batches(spark)
     langs, dots = fit(docs.where(~held_out(4, 2)))
@@ -175,8 +183,8 @@ def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                best, sure = _scored(part.column("text").to_pylist(), shared.value)
-                yield part.filter(pa.array((best < len(langs)) & (sure >= least)))
+                best, _, near = _scored(part.column("text").to_pylist(), shared.value)
+                yield part.filter(pa.array((best < len(langs)) & (near >= least)))
 
     return docs.mapInArrow(keep, docs.schema)
 

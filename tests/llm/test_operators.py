@@ -584,6 +584,11 @@ def test_language_identification(spark):
     assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
     kept = language_id.accepted(docs(spark, texts, langs))
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ") and kept.count() == 241
+    foreign = docs(spark, [*texts, "λόγος ἦν πρὸς τὸν θεόν"], [*langs, None])
+    wide = language_id.accepted(clashing(foreign))
+    assert wide.columns == clashing(foreign).columns and wide.count() == 241
+    unnamed = language_id.identify(docs(spark, texts, langs).withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted(r["lang_pred"] for r in unnamed.collect()) == sorted(r["lang_pred"] for r in out.values())
     assert {r["lang_pred"] for r in language_id.identify(docs(spark, texts[:3], [None] * 3)).collect()} == {"und"}
     assert language_id.identify(docs(spark, texts, langs).limit(0)).count() == 0
 
