@@ -126,14 +126,20 @@ def scan(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(go, f"doc_id {kind}, n long, f1 long, f2 long, sig binary")
 
 
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """(rows, BANDS): the bucket of each band."""
+    sig = sigs[:, :SIGNATURE].reshape(-1, BANDS, ROWS)
+    key = np.zeros(sig.shape[:2], np.uint64)
+    for r in range(ROWS):
+        key = mixed(key ^ sig[:, :, r]) + np.arange(BANDS, dtype=np.uint64)
+    return key.view(np.int64)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
-        key = np.zeros(sig.shape[:2], np.uint64)
-        for r in range(ROWS):
-            key = mixed(key ^ sig[:, :, r]) + np.arange(BANDS, dtype=np.uint64)
+        key = band_keys(_signatures(batch.column("sig")))
         ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], ["bucket", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(ids)], ["bucket", "id"])
 
 
 def _signatures(column: pa.Array, size: int = SIGNATURE) -> np.ndarray:
@@ -155,7 +161,7 @@ def _surviving(bound: float):
 
 def _crossing(percent: int, best: bool):
     """From rows (bucket, block, slice, q, id, label, n, u, sig), each block's together: plausible pairs of a query with a class of
-    another component; best: the most similar one of each query alone."""
+    another component, each in the first bucket alone that both are in; best: the most similar one of each query alone."""
     bound = percent / 100
 
     def compared(rows: pa.Table) -> pa.RecordBatch:
@@ -165,10 +171,14 @@ def _crossing(percent: int, best: bool):
         size = rows.column("n").to_numpy()
         most = size - rows.column("u").to_numpy()
         all_ids, all_labels, all_sigs, all_size, all_most = ids[~is_q], labels[~is_q], sigs[~is_q], size[~is_q], most[~is_q]
+        keys, bucket = band_keys(all_sigs), rows.column("bucket")[0].as_py()
+        asked = band_keys(sigs[is_q])
+        band = (asked == bucket).argmax(axis=1)  # of this bucket
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, label, n, shared, sig in zip(ids[is_q], labels[is_q], size[is_q], most[is_q], sigs[is_q], strict=True):
+        for i, label, n, shared, sig, own, b in zip(ids[is_q], labels[is_q], size[is_q], most[is_q], sigs[is_q], asked, band, strict=True):
             both = np.minimum(all_most, shared)
             others = np.flatnonzero((all_labels != label) & (100 * both >= percent * (n + all_size - both)))
+            others = others[~(keys[others, :b] == own[:b]).any(axis=1)]  # the others are met in an earlier band's bucket
             left, m = plausible(all_sigs[others], np.broadcast_to(sig, (len(others), LONG_SIGNATURE)), bound)
             if best and len(left):
                 top = np.lexsort((all_ids[others[left]], -m))[:1]
@@ -273,7 +283,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     # buckets in which representatives haven't met all
     large = members.where("c > size(reps) + 1").select("bucket", "id")
     mixed_ = _labelled(large, labels, "id", "label").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    large = staged(large.join(mixed_, "bucket"), "large")
+    large = staged(large.join(_checked(staged(mixed_, "mixed")), "bucket"), "large")
     if not empty(large):
         sets = sets_of(large)
         large = staged(large.join(_own(sets).where(f"100 * (n - u) >= {percent} * n"), "id"), "linkable")
@@ -284,7 +294,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         opened = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("total"), F.count("*").alias("labels")).where("labels > 1")
         blocks = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
         opened = opened.select("bucket", F.col("main.label").alias("main"), blocks(F.col("total")).alias("blocks"), blocks(F.col("total") - F.col("main.c")).alias("slices"))
-        found = staged(by_label.join(opened, "bucket"), "open")
+        found = staged(by_label.join(_checked(staged(opened, "opened")), "bucket"), "open")
         if empty(found):
             break
         of = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
