@@ -8,7 +8,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns, word lists and limits that define the results.
+from candor.functions.arrays import bound
+
+# Patterns, word lists and limits that define the results. Digits are [0-9], as Spark's and DuckDB's pattern engines
+# don't agree on which characters \\d means.
 STOP_MARKERS = ["\nQ:", "\nQuestion:", " Q:", "Q:", "Answer the question", "\n\n"]
 QUESTION_PROMPT = "Answer the question concisely. Q: %s A:"
 BULLET = r"^\s*(?:[-•*▪▸►]|[0-9]{1,3}[.)]\s|[a-zA-Z][.)]\s)"
@@ -115,32 +118,45 @@ def is_bullet(line: Column) -> Column:
 
 
 _ABBREVIATED = "|".join(ABBREVIATIONS)
-#: White space between sentences: after a stop that isn't an abbreviation's, initials' or an address's.
-BOUNDARY = rf"(?<=[.!?])(?<!\b(?i:{_ABBREVIATED})\.)(?<!\b[A-Z]\.[A-Z]\.)(?<!(?:https?://|www\.)\S{{0,200}})\s+(?=[A-Z\"'(])"
+#: White space between sentences: after a stop that isn't an abbreviation's or initials'.
+BOUNDARY = rf"(?<=[.!?])(?<!\b(?i:{_ABBREVIATED})\.)(?<!\b[A-Z]\.[A-Z]\.)\s+(?=[A-Z\"'(])"
+#: A web address with a stop at its end, of any length. A mark put behind it, a character of the private use area, hides the stop
+#: from the pattern above.
+ADDRESS, MARK = r"((?:https?://|www\.)\S*[.!?])", "\ue000"
+
+
+def _marked(text: Column) -> Column:
+    return F.when(text.rlike(r"https?://|www\."), F.regexp_replace(text, ADDRESS + r"(?=\s)", "$1" + MARK)).otherwise(text)
 
 
-def _located(parts: Column, text: Column, offset: Column, source: Column) -> Column:
-    """Parts found one after the other in text, with their places; empty ones dropped."""
+def _unmarked(part: Column) -> Column:
+    return F.when(F.contains(part, F.lit(MARK)), F.regexp_replace(part, ADDRESS + MARK + r"(?=\s|$)", "$1")).otherwise(part)
 
-    def step(acc: Column, part: Column) -> Column:
-        at = F.call_function("locate", part, text, acc["at"] + 1) - 1
-        begin = F.when(at < 0, acc["at"]).otherwise(at)
-        end = begin + F.length(part)
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(part.alias("sentence"), (begin + offset).cast("int").alias("start"), (end + offset).cast("int").alias("end"), source.alias("source")))).alias("out"))
 
-    kept = F.filter(F.transform(parts, stripped), lambda p: p != "")
-    return F.aggregate(kept, F.struct(F.lit(0).alias("at"), F.array().cast(SENTENCES).alias("out")), step, lambda acc: acc["out"])
+def _located(text: Column, separator: str, offset: Column, source: Column) -> Column:
+    """The parts of text between separators, stripped, with their places; empty ones dropped. Places are sums of the lengths of the
+    parts and separators before."""
+
+    def step(acc: Column, x: Column) -> Column:
+        part = stripped(x["part"])
+        begin = acc["at"] + F.length(x["part"]) - F.length(F.regexp_replace(x["part"], r"^\s+", ""))
+        new = F.struct(part.alias("sentence"), begin.cast("int").alias("start"), (begin + F.length(part)).cast("int").alias("end"), source.alias("source"))
+        return F.struct((acc["at"] + F.length(x["part"]) + x["gap"]).cast("int").alias("at"), F.when(part == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(new))).alias("out"))
+
+    gaps = F.transform(F.regexp_extract_all(text, F.lit(separator), F.lit(0)), lambda g: F.length(g))
+    pairs = F.zip_with(F.transform(F.split(text, separator), _unmarked), gaps, lambda p, g: F.struct(p.alias("part"), F.coalesce(g, F.lit(0)).alias("gap")))
+    return F.aggregate(pairs, F.struct(offset.cast("int").alias("at"), F.array().cast(SENTENCES).alias("out")), step, lambda acc: acc["out"])
 
 
 def blocks(text: Column) -> Column:
     """Paragraphs; where a paragraph of several lines has a bullet line, its lines. source: bullet, newline or
     paragraph."""
-    paragraphs = _located(F.split(text, r"\n\s*\n"), text, F.lit(0), F.lit("paragraph"))
+    paragraphs = _located(text, r"\n\s*\n", F.lit(0), F.lit("paragraph"))
 
     def lines(p: Column) -> Column:
         parts = F.split(p["sentence"], "\n")
         mixed = (F.size(parts) > 1) & F.exists(parts, lambda x: is_bullet(stripped(x)))
-        each = F.transform(_located(parts, p["sentence"], p["start"], F.lit("newline")), lambda x: F.struct(x["sentence"], x["start"], x["end"], F.when(is_bullet(x["sentence"]), "bullet").otherwise("newline").alias("source")))
+        each = F.transform(_located(p["sentence"], "\n", p["start"], F.lit("newline")), lambda x: F.struct(x["sentence"], x["start"], x["end"], F.when(is_bullet(x["sentence"]), "bullet").otherwise("newline").alias("source")))
         return F.when(mixed, each).otherwise(F.array(p))
 
     return F.flatten(F.transform(paragraphs, lines))
@@ -149,7 +165,8 @@ def blocks(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences with places; bullet lines stay whole. Blank and null texts have none."""
     def split(b: Column) -> Column:
-        return F.when(b["source"] == "bullet", F.array(b)).otherwise(_located(F.split(b["sentence"], BOUNDARY), b["sentence"], b["start"], F.lit("regex")))
+        regex = bound(_marked(b["sentence"]), lambda m: _located(m, BOUNDARY, b["start"], F.lit("regex")))
+        return F.when(b["source"] == "bullet", F.array(b)).otherwise(regex)
 
     return F.when(stripped(F.coalesce(text, F.lit(""))) == "", F.array().cast(SENTENCES)).otherwise(F.flatten(F.transform(blocks(text), split)))
 
@@ -205,15 +222,15 @@ def squad_norm(text: Column) -> Column:
 
 def reference_label(claim: Column, refs: Column) -> Column:
     """0 if any reference is in the claim (both normalised), else 1."""
-    c = norm(claim)
-    return F.when(F.exists(F.coalesce(refs, F.array().cast("array<string>")), lambda r: (norm(r) != "") & F.contains(c, norm(r))), 0).otherwise(1)
+    given = F.transform(F.coalesce(refs, F.array().cast("array<string>")), norm)
+    return F.when(bound(norm(claim), lambda c: F.exists(given, lambda r: (r != "") & F.contains(c, r))), 0).otherwise(1)
 
 
 def gold_matches(answer: Column, refs: Column) -> dict[str, Column]:
     """equal: any reference equals the answer; either: either is in the other; inside: any reference is in the answer."""
-    a = squad_norm(answer)
-    each = lambda test: F.coalesce(F.exists(refs, lambda r: (squad_norm(r) != "") & test(squad_norm(r))), F.lit(False))
-    return {"equal": each(lambda r: r == a), "either": (a != "") & each(lambda r: F.contains(a, r) | F.contains(r, a)), "inside": each(lambda r: F.contains(a, r))}
+    given = F.transform(refs, squad_norm)
+    each = lambda test: bound(squad_norm(answer), lambda a: F.coalesce(F.exists(given, lambda r: (r != "") & test(a, r)), F.lit(False)))
+    return {"equal": each(lambda a, r: r == a), "either": each(lambda a, r: (a != "") & (F.contains(a, r) | F.contains(r, a))), "inside": each(F.contains)}
 
 
 def verdict(reply: Column) -> Column:
@@ -231,10 +248,12 @@ def grounded_verdict(reply: Column) -> Column:
 
 def chunks(text: Column, size: int = CHUNK_WORDS, stride: int = CHUNK_STRIDE) -> Column:
     """Windows of `size` words every `stride` words, until the end is covered."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)), lambda s: (n > 0) & ((s == 0) | (s + (size - stride) < n)))
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(stride)), lambda s: (n > 0) & ((s == 0) | (s + (size - stride) < n)))
+        return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+
+    return bound(F.filter(F.split(text, r"\s+"), lambda w: w != ""), cut)
 
 
 def tokens(text: Column) -> Column:
@@ -248,7 +267,8 @@ def overlap(a: Column, b: Column) -> Column:
 
 def best_chunks(claim: Column, candidates: Column, k: int = 4) -> Column:
     """The k candidates with the largest overlap, ties in their order."""
-    keyed = F.transform(candidates, lambda c, i: F.struct((-overlap(c, claim)).alias("o"), i.alias("i"), c.alias("c")))
+    shared = lambda c, said: -F.size(F.array_intersect(tokens(c), said))
+    keyed = bound(tokens(claim), lambda said: F.transform(candidates, lambda c, i: F.struct(shared(c, said).alias("o"), i.alias("i"), c.alias("c"))))
     return F.transform(F.slice(F.array_sort(keyed), 1, k), lambda x: x["c"])
 
 

@@ -1,23 +1,34 @@
 """Ranking and classification metrics as grouped aggregates over (keys, y, s): y is 0 or 1 (1: hallucinated), s the score.
 
-Rows are first counted by distinct score, so what is ordered is small or at least distinct. Running sums over an order are
-made in two steps: ranges of the score get their sums, and only within a range are rows ordered, so no task
-holds the whole order.
+Rows are first counted by distinct score, so what is ordered is distinct. Running sums over an order are made in two steps: ranges
+of the order get their sums, and only within a range are rows ordered, so no task holds the whole order. Ranges are cut at values
+drawn by their hash, so they hold about equally many rows however the values lie, and are the same in each evaluation.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 1024
+#: Ranges of an order, about.
+RANGES = 512
+
+
+def _range_of(x: Column, cuts: Column) -> Column:
+    """How many of the sorted cuts are below x, by halving."""
+    step = lambda at, size: F.when((at + size <= F.size(cuts)) & (F.get(cuts, at + size - 1) < x), at + size).otherwise(at)
+    halves = F.array(*(F.lit(1 << b) for b in range(RANGES.bit_length(), -1, -1)))
+    return F.coalesce(F.aggregate(halves, F.lit(0), step), F.lit(0))
 
 
 def running(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False) -> DataFrame:
     """df with cum_<value>: sums over the rows of the keys up to and with this one; order is unique within the keys."""
-    span = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    share = (F.col(order) - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
-    rows = df.join(span, keys).withColumn("_r", F.floor(share * (RANGES - 1)).cast("int")).drop("_lo", "_hi")
+    size = df.groupBy(*keys).agg(F.count("*").alias("_size"))
+    drawn = F.pmod(F.xxhash64(F.col(order)), F.lit(1 << 30)) < F.lit(float(RANGES << 30)) / F.col("_size")
+    cuts = df.join(size, keys).where(drawn).groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("_cuts"))
+    rows = df.join(cuts, keys, "left").withColumn("_r", _range_of(F.col(order), F.col("_cuts"))).drop("_cuts")
     sign = -1 if descending else 1
     sums = rows.groupBy(*keys, "_r").agg(*(F.sum(v).alias(v) for v in values))
     before = Window.partitionBy(*keys).orderBy(F.col("_r") * sign).rowsBetween(Window.unboundedPreceding, -1)
@@ -66,12 +77,26 @@ def trapezoid_pr(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def best_threshold(df: DataFrame, keys: list[str], objective: str = "f1") -> DataFrame:
     """Threshold with the largest F1 (or Youden's J); the lowest of equals. Candidates are the distinct scores, or 200
-    interpolated quantiles of all scores if there are more. 0.5 with nothing to choose."""
+    interpolated quantiles of all scores if there are more. 0.5 with nothing to choose. A quantile lies between two scores of the
+    curve, which give its counts, so the curve is gone through once."""
     c = curve(df, keys)
-    n = c.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile("s", [i / 199 for i in range(200)], F.col("pos") + F.col("neg")).alias("q"))
-    few = c.join(n.where("n <= 200").select(*keys), keys).select(*keys, F.col("s").alias("t"))
-    grid = few.unionByName(n.where("n > 200").select(*keys, F.explode("q").alias("t"))).distinct()
-    at = grid.join(counts(df, keys), keys).groupBy(*keys, "t").agg(F.sum(F.when(F.col("s") >= F.col("t"), F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("s") >= F.col("t"), F.col("neg")).otherwise(0)).alias("fp"), F.first("P").alias("P"), F.first("N").alias("N"))
+    c = c.join(c.groupBy(*keys).agg(F.count("*").alias("d")), keys)
+    few = c.where("d <= 200").select(*keys, F.col("s").alias("t"), "tp", "fp", "P", "N")
+    steps, last = 199, F.col("P") + F.col("N") - 1  # quantile i is at place i * last / steps of the sorted scores
+    before = F.col("P") + F.col("N") - F.col("tp") - F.col("fp")
+    after = before + F.col("pos") + F.col("neg")
+    nth = lambda place: F.ceil(F.greatest(place, F.lit(0)) * steps / last).cast("int")
+    none = F.array().cast("array<int>")
+    covered = lambda lo, hi: F.when(nth(hi) > nth(lo), F.sequence(nth(lo), F.least(nth(hi) - 1, F.lit(steps)))).otherwise(none)
+    at = F.struct("s", "tp", "fp")
+    reached = F.concat(F.transform(covered(before, F.when(after > last, after + last).otherwise(after)), lambda i: F.struct(i.alias("i"), at.alias("lo"), F.lit(None).cast("struct<s:double,tp:bigint,fp:bigint>").alias("hi"))), F.transform(covered(before - 1, after - 1), lambda i: F.struct(i.alias("i"), F.lit(None).cast("struct<s:double,tp:bigint,fp:bigint>").alias("lo"), at.alias("hi"))))
+    many = c.where("d > 200").withColumns({"s": F.col("s").cast("double"), "tp": F.col("tp").cast("bigint"), "fp": F.col("fp").cast("bigint")}).select(*keys, "P", "N", F.inline(reached))
+    many = many.groupBy(*keys, "i").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"), F.first("P").alias("P"), F.first("N").alias("N"))
+    place = F.col("i") * last / steps
+    part = place - F.floor(place)
+    t = F.when((part == 0) | F.col("hi").isNull(), F.col("lo.s")).otherwise(F.col("lo.s") * (1 - part) + F.col("hi.s") * part)
+    many = many.withColumn("t", t).select(*keys, "t", *(F.when(F.col("t") <= F.col("lo.s"), F.col(f"lo.{x}")).otherwise(F.col(f"hi.{x}")).alias(x) for x in ("tp", "fp")), "P", "N")
+    at = few.unionByName(many)
     f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")), F.lit(0.0))
     youden = F.col("tp") / (F.col("P") + 1e-9) - F.col("fp") / (F.col("N") + 1e-9)
     score = f1 if objective == "f1" else youden
@@ -111,29 +136,51 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 def rank_mean(df: DataFrame, columns: list[str], tie: str, out: str) -> DataFrame:
     """Mean over columns of the ordinal rank over n - 1; ties in the order of `tie`. Ranks need the order of all rows;
-    they are made from range-partitioned running counts, one column at a time."""
+    they are made from running counts in ranges of (value, tie), one column at a time."""
     n = df.count()
     if n < 2:
         raise ValueError("rank fusion needs two rows at least")
-    ranked = df
+    ranked = df.withColumns({"_k": F.lit(0), "_one": F.lit(1)})
     for c in columns:
-        by_value = running(df.groupBy(c).agg(F.count("*").alias("n")).withColumn("_k", F.lit(0)), ["_k"], c, ["n"]).select(c, (F.col("cum_n") - F.col("n")).alias("_before"))
-        nth = F.row_number().over(Window.partitionBy(c).orderBy(tie))
-        ranked = ranked.withColumn(f"_n_{c}", nth).join(by_value, c).withColumn(f"_r_{c}", (F.col("_before") + F.col(f"_n_{c}") - 1) / (n - 1)).drop("_before", f"_n_{c}")
+        ranked = running(ranked.withColumn("_o", F.struct(c, tie)), ["_k"], "_o", ["_one"]).withColumn(f"_r_{c}", (F.col("cum__one") - 1) / (n - 1)).drop("cum__one", "_o")
     mean = sum((F.col(f"_r_{c}") for c in columns), F.lit(0.0)) / len(columns)
-    return ranked.withColumn(out, mean).drop(*(f"_r_{c}" for c in columns))
+    return ranked.withColumn(out, mean).drop("_k", "_one", *(f"_r_{c}" for c in columns))
+
+
+# Cumulated probabilities of Poisson(1).
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+# End of fixed values.
 
 
 def bootstrap(df: DataFrame, replicates: int, row_id: str) -> DataFrame:
-    """auroc of each replicate, rows weighted by Poisson(1) counts from a hash of row and replicate, so that every
-    replicate is the same on every run; replicates with a single class are left out."""
-    unit = (F.xxhash64(F.col(row_id), F.col("b")).bitwiseAND((1 << 52) - 1)) / float(1 << 52)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + F.when(unit >= s, 1).otherwise(0)
-    many = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight).where("w > 0")
-    return auroc(many, ["b"], F.col("w")).where("auroc is not null")
+    """b, auroc of each replicate, rows weighted by Poisson(1) counts from a hash of row and replicate, so that every
+    replicate is the same on every run; replicates with a single class are left out. Each range of scores gives, for all replicates at
+    once, the weights of both classes and the pairs won within it; only these sums are put together over the ranges."""
+    once = df.select("s").distinct().withColumn("_k", F.lit(0))
+    ranges = running(once.withColumn("n", F.lit(1)), ["_k"], "s", ["n"]).select("s", F.floor((F.col("cum_n") - 1) / RANGES).alias("r"))
+    rows = df.select("s", "y", F.xxhash64(row_id).alias("h")).join(ranges, "s")
+
+    def sums(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["s", "h"])
+        y, h = part["y"].to_numpy(), part["h"].to_numpy().view(np.uint64)
+        _, score = np.unique(part["s"].to_numpy(), return_inverse=True)
+        cuts, out = np.array(POISSON), []
+        for lo in range(0, replicates, 64):
+            b = np.arange(lo, min(replicates, lo + 64))
+            x = h[:, None] ^ (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            for shift, odd in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+                x = (x ^ x >> np.uint64(shift)) * np.uint64(odd)
+            w = np.searchsorted(cuts, (x >> np.uint64(11)).astype(float) / (1 << 53), side="right")
+            pos, neg = (np.stack([np.bincount(score, w[:, i] * (y == v), score.max() + 1) for i in range(len(b))], axis=1) for v in (1, 0))
+            won = (pos * (np.cumsum(neg, axis=0) - neg / 2)).sum(axis=0)
+            out.append(pd.DataFrame({"b": b, "r": part["r"].iloc[0], "pos": pos.sum(axis=0), "neg": neg.sum(axis=0), "won": won}))
+        return pd.concat(out)
+
+    each = rows.groupBy("r").applyInPandas(sums, "b int, r long, pos double, neg double, won double")
+    below = Window.partitionBy("b").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    total = each.groupBy("b").agg(F.sum(F.col("won") + F.col("pos") * F.col("below")).alias("won"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return total.where("P > 0 and N > 0").select("b", (F.col("won") / (F.col("P") * F.col("N"))).alias("auroc"))
 
 
 def localisation(df: DataFrame, group: str, pos: str) -> DataFrame:

@@ -120,7 +120,7 @@ def _(spark, d):
 def _(spark, d):
     """Percentile interval of each detector's AUROC, of the difference of two, and the chance that it is above 0."""
     df = labelled(spark, d)
-    both = [M.bootstrap(df.select("doc_id", "y", F.col(c).alias("s")), 200, "doc_id").select("b", F.col("auroc").alias(n)) for c, n in (("sep_entropy", "x"), ("hallushift", "z"))]
+    both = [M.bootstrap(df.select("doc_id", "y", F.col(c).alias("s")), 2000, "doc_id").select("b", F.col("auroc").alias(n)) for c, n in (("sep_entropy", "x"), ("hallushift", "z"))]
     pairs = both[0].join(both[1], "b")
     return pairs.agg(F.percentile("x", [0.025, 0.975]).alias("x_interval"), F.percentile("z", [0.025, 0.975]).alias("z_interval"), F.percentile(F.col("x") - F.col("z"), [0.025, 0.975]).alias("difference"), F.avg((F.col("x") > F.col("z")).cast("double")).alias("p_better"))
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from candor.operators.splits import first_per, page, shuffle_key
 
-# What each source calls its columns.
-SCANNED, SCAN_FACTOR, SCAN_EXTRA = "triviaqa", 3, 3000
+# How many rows are read of a source whose rows repeat, for n questions from an offset.
+SCAN_FACTOR, SCAN_EXTRA = 3, 3000
 # End of fixed values.
 
 
@@ -23,10 +23,11 @@ def truthfulqa(df: DataFrame) -> DataFrame:
     return df.select("question", F.concat("correct_answers", F.array("best_answer")).alias("refs"))
 
 
-def triviaqa(df: DataFrame) -> DataFrame:
-    """The first row of each question_id, by position."""
-    once = first_per(df, "question_id", ["pos"], 1)
-    return once.select("question", _present(F.concat("aliases", F.array("value"))).alias("refs"))
+def triviaqa(df: DataFrame, n: int | None = None, offset: int = 0) -> DataFrame:
+    """The first row of each question_id, by position; for a page, of the first SCAN_FACTOR * (offset + n) + SCAN_EXTRA rows."""
+    rows = df if n is None else df.orderBy("pos").limit(SCAN_FACTOR * (offset + n) + SCAN_EXTRA)
+    once = first_per(rows, "question_id", ["pos"], 1)
+    return once.select("question", _present(F.concat("aliases", F.array("value"))).alias("refs"), "pos")
 
 
 def nq_open(df: DataFrame) -> DataFrame:
@@ -47,25 +48,40 @@ def hotpotqa(df: DataFrame) -> DataFrame:
 
 def popqa(df: DataFrame) -> DataFrame:
     """Possible answers as a JSON text; in a seeded order."""
-    return df.orderBy(shuffle_key(F.col("question"), 42)).select("question", F.from_json("possible_answers", "array<string>").alias("refs"))
+    return df.select("question", F.from_json("possible_answers", "array<string>").alias("refs"), shuffle_key(F.col("question"), 42).alias("pos"))
 
 
 def sciq(df: DataFrame) -> DataFrame:
-    return df.orderBy(shuffle_key(F.col("question"), 42)).select("question", F.array("correct_answer").alias("refs"))
+    return df.select("question", F.array("correct_answer").alias("refs"), shuffle_key(F.col("question"), 42).alias("pos"))
 
 
 def tydiqa(df: DataFrame) -> DataFrame:
     return df.where(F.contains("id", F.lit("english"))).select("question", F.array_distinct("answers.text").alias("refs"))
 
 
-LOADERS: dict[str, Callable[[DataFrame], DataFrame]] = {f.__name__: f for f in (truthfulqa, triviaqa, nq_open, web_questions, squad, hotpotqa, popqa, sciq, tydiqa)}
+def halueval_dialogue(df: DataFrame) -> DataFrame:
+    """Knowledge and dialogue history as the question."""
+    return df.select(F.concat_ws(" ", "knowledge", "dialogue_history").alias("question"), F.array("right_response").alias("refs"))
+
+
+def halueval_qa(df: DataFrame) -> DataFrame:
+    return df.select(F.concat_ws(" ", "knowledge", "question").alias("question"), F.array("right_answer").alias("refs"))
+
+
+def halueval_summarization(df: DataFrame) -> DataFrame:
+    return df.select(F.col("document").alias("question"), F.array("right_summary").alias("refs"))
+
+
+LOADERS: dict[str, Callable[[DataFrame], DataFrame]] = {f.__name__: f for f in (truthfulqa, triviaqa, nq_open, web_questions, squad, hotpotqa, popqa, sciq, tydiqa, halueval_dialogue, halueval_qa, halueval_summarization)}
 
 
 def load(df: DataFrame, name: str, n: int | None = None, offset: int = 0) -> DataFrame:
-    """Rows [offset, offset + n) of a source, in the order of the question."""
+    """Rows [offset, offset + n) of a source, in the source's own order (`pos`: its position or a seeded shuffle), else by question."""
     if name not in LOADERS:
         raise ValueError(f"unknown source {name!r}")
-    return page(LOADERS[name](df), "question", n, offset)
+    rows = triviaqa(df, n, offset) if name == "triviaqa" else LOADERS[name](df)
+    order = ["pos", "question"] if "pos" in rows.columns else ["question"]
+    return page(rows, order, n, offset).select("question", "refs")
 
 
 def read_first(spark: SparkSession, *paths: str) -> DataFrame:
