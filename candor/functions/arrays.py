@@ -23,8 +23,15 @@ def softmax(x: Column) -> Column:
 
 
 def wasserstein(p: Column, q: Column) -> Column:
-    """Between two value samples of equal size."""
-    return total(F.zip_with(F.array_sort(p), F.array_sort(q), lambda a, b: F.abs(a - b))) / F.size(p)
+    """Between two value samples: of samples of n and m values, the one whose n * m quantile steps are compared."""
+    equal = total(F.zip_with(F.array_sort(p), F.array_sort(q), lambda a, b: F.abs(a - b))) / F.size(p)
+
+    def general(x: Column) -> Column:
+        n, m = F.size(x["p"]), F.size(x["q"])
+        every = F.sequence(F.lit(0), n * m - 1)
+        return total(F.transform(every, lambda i: F.abs(F.get(x["p"], F.floor(i / m).cast("int")) - F.get(x["q"], F.floor(i / n).cast("int"))))) / (n * m)
+
+    return F.when(F.size(p) == F.size(q), equal).when((F.size(p) > 0) & (F.size(q) > 0), bound(F.struct(F.array_sort(p).alias("p"), F.array_sort(q).alias("q")), general))
 
 
 def dot(p: Column, q: Column) -> Column:
@@ -92,6 +99,33 @@ def statistics(p_max: Column, p_min: Column) -> Column:
     return F.array(*(c.cast("double") for c in [F.array_min(p_max), spread(p_max, p_min), *both, *(percentile(p_max, q) for q in (0.25, 0.5, 0.75))]))
 
 
+def pair_distances(vectors: Column) -> Column:
+    """Of distributions one after another: the distances of neighbours, then their cosines."""
+    left, right = lambda v: F.slice(v, 1, F.size(v) - 1), lambda v: F.slice(v, 2, F.size(v) - 1)
+    return bound(vectors, lambda v: F.concat(F.zip_with(left(v), right(v), wasserstein), F.zip_with(left(v), right(v), cosine)))
+
+
+def every_second(layers: Column, first: int, last: Column) -> Column:
+    """Layers first, first + 2, ... up to last, as distributions. Layer 0 is the embedding."""
+    return F.transform(F.filter(layers, lambda _, i: (i >= first) & (i <= last) & (F.pmod(i - first, F.lit(2)) == 0)), softmax)
+
+
+def layer_features(hidden: Column, attention: Column, layers: Column) -> Column:
+    """One step's features: hidden layers 2, 4, ... `layers`, then attention layers 1, 3, ... `layers` - 1."""
+    return F.concat(pair_distances(every_second(hidden, 2, layers)), pair_distances(every_second(attention, 1, layers - 1)))
+
+
+def last_real(vectors: Column, mask: Column) -> Column:
+    """The vector at the last place that isn't padding; mask: 1 for what is real."""
+    return F.get(vectors, F.aggregate(mask, F.lit(0), lambda a, m: a + m.cast("int")) - 1)
+
+
+def sliced_mean(values: Column, a: Column, b: Column, fallback: Column) -> Column:
+    """Mean of values [a, b); the fallback where these are fewer than two."""
+    part = F.slice(values, a + 1, F.greatest(b - a, F.lit(0)))
+    return F.when(F.size(part) >= 2, total(part) / F.size(part)).otherwise(fallback)
+
+
 def standardised(x: Column, mean: Column, scale: Column) -> Column:
     return F.zip_with(F.zip_with(x, mean, lambda a, m: a - m), scale, lambda d, s: d / s)
 

@@ -18,6 +18,11 @@ COSINE_TEMPERATURE = 0.1
 # End of fixed values.
 
 
+def score_vector() -> Column:
+    """The scores in the models' order."""
+    return F.array(*(F.col(c).cast("double") for c in SCORE_FEATURES))
+
+
 def sigmoid(z: Column) -> Column:
     return 1 / (1 + F.exp(-z))
 

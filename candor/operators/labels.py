@@ -2,12 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.functions import text as T
 
 
+# What judges are asked.
+GROUNDED_PROMPT = 'Reference text:\n%s\n\nStatement: "%s"\n\nIs the statement supported by the reference text? Answer yes or no.'
+QA_PROMPT = 'Question: %s\nKnown correct answer(s): %s\nModel\'s answer: "%s"\n\nIs the model\'s answer correct? Reply CORRECT or INCORRECT.'
+NO_REFERENCE = "(no reference available)"
+# End of fixed values.
+
+#: Adds a column `reply` to rows with a column `prompt`: a model behind sources.files.scored_by, or an expression.
+Judge = Callable[[DataFrame], DataFrame]
+
+
+def grounded_judge(df: DataFrame, claim: str, source: str, judge: Judge) -> DataFrame:
+    """df with evidence (the chunks of `source` that overlap most with the claim), prompt, reply, and label: 0 if the judge says yes."""
+    rows = df.withColumn("evidence", T.evidence(T.best_chunks(F.col(claim), T.chunks(F.coalesce(F.col(source), F.lit(""))))))
+    rows = judge(rows.withColumn("prompt", F.format_string(GROUNDED_PROMPT, "evidence", claim)))
+    return rows.withColumn("label", T.grounded_verdict(F.col("reply")))
+
+
+def qa_judge(df: DataFrame, question: str, claim: str, refs: str, judge: Judge) -> DataFrame:
+    """df with prompt, reply, and label: 0 if the judge finds the claim correct, given question and references."""
+    gold = T.gold_string(F.col(refs), NO_REFERENCE)
+    rows = judge(df.withColumn("prompt", F.format_string(QA_PROMPT, question, gold, claim)))
+    return rows.withColumn("label", T.verdict(F.col("reply")))
+
+
+def by_source(df: DataFrame, claim: str, evidence_source: str, refs: str, judge: Judge) -> DataFrame:
+    """Labels of raw claims: the grounded judge for the source `wiki`, references for all others."""
+    wiki = grounded_judge(df.where("source = 'wiki'"), claim, evidence_source, judge).select(*df.columns, "label")
+    others = df.where("source is null or source <> 'wiki'").withColumn("label", T.reference_label(F.col(claim), F.col(refs)))
+    return wiki.unionByName(others)
+
+
+def answer_pairs(df: DataFrame, key: str, answer: str, refs: DataFrame) -> DataFrame:
+    """Rows (key, kind, ref, answer): each answer with each correct and incorrect reference of its key; rows without any have one row
+    of nulls. refs: key, correct, incorrect."""
+    tagged = lambda column, kind: F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("ref")))
+    rows = df.select(key, answer).join(refs, key, "left")
+    return rows.select(key, answer, F.explode_outer(F.concat(tagged(F.col("correct"), "correct"), tagged(F.col("incorrect"), "incorrect"))).alias("x")).select(key, answer, "x.kind", "x.ref")
+
+
 def last_by_key(df: DataFrame, key: Column, position: str) -> DataFrame:
     """One row per normalised key, the last."""
     return df.withColumn("_key", key).withColumn("_r", F.row_number().over(Window.partitionBy("_key").orderBy(F.desc(position)))).where("_r = 1").drop("_r")

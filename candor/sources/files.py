@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +15,29 @@ from candor.functions.scores import DEFAULT_HIGH, DEFAULT_MEDIUM
 from candor.functions.text import one_line
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all machines share; in local mode without one, in a temporary folder. It goes when the
+    application ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="candor-")
+        spark.sparkContext.setCheckpointDir(named)
+    path = f"{named.rstrip('/')}/candor-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def attached(first: DataFrame, second: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of a first pass with columns that a second pass made for some of them; the others keep what they have."""
+    new = second.select(F.col(key), F.lit(True).alias("_new"), *(F.col(c).alias(f"_{c}") for c in columns))
+    out = first.join(new, key, "left")
+    had = lambda c: F.col(c) if c in first.columns else F.lit(None)
+    return out.withColumns({c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(had(c)) for c in columns}).drop("_new", *(f"_{c}" for c in columns))
+
+
 def with_features(rows: DataFrame, features: DataFrame, key: str) -> DataFrame:
     """Rows with their feature arrays, by key; refuses tables that don't match row for row."""
     out = rows.join(features, key)

@@ -39,10 +39,18 @@ def tiered(log: DataFrame, medium: float, high: float) -> DataFrame:
 
 
 def windowed(log: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Our extension: claims and flagged answers by model and hour, with late records up to `late`."""
+    """Our extension: answers and flagged answers by model and hour, with late records up to `late`; log is one that `tiered` has gone
+    over."""
     rows = log.withWatermark("at", late)
     return rows.groupBy(F.window("at", width), "model").agg(F.count("*").alias("answers"), F.count_if(F.col("tier").isin("high", "medium")).alias("flagged"))
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return df.writeStream.format("json").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path)
+
+
+def respond(spark: SparkSession, requests: str, responses: str, checkpoint: str, answer) -> None:
+    """Answers the request files that are there and ends: a micro-batch from JSON (question, text) to JSON. answer: a function of the
+    request table. A file is answered once, as the checkpoint remembers it."""
+    rows = spark.readStream.schema("question string, text string").json(requests)
+    write_stream(answer(rows), responses, checkpoint).awaitTermination()
