@@ -183,11 +183,14 @@ def _(spark, d):
 
 
 @query("m21_perturbation", f"""WITH {LABELLED}, e AS (SELECT unnest([0.0, 0.0001, 0.01, 0.1])::DOUBLE AS eps), x AS (SELECT eps, y, doc_id, {fused_sql('l1b').replace('tsv_margin', '(tsv_margin + eps)')} AS s FROM labelled, e)
-    SELECT eps, round(stddev_pop(s), 6) AS std FROM x GROUP BY eps""")
+    , r AS (SELECT eps, y, s, rank() OVER (PARTITION BY eps ORDER BY round(s, 9)) + (count(*) OVER (PARTITION BY eps, round(s, 9)) - 1) / 2.0 AS r FROM x)
+    SELECT eps, round(stddev_pop(s), 6) AS std, round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auroc FROM r GROUP BY eps""")
 def _(spark, d):
-    """Scores after eps is added to one column."""
+    """Spread and AUROC of the scores after eps is added to one column."""
     df = labelled(spark, d).withColumn("eps", F.explode(F.array(*map(F.lit, [0.0, 0.0001, 0.01, 0.1])))).withColumn("tsv_margin", F.col("tsv_margin") + F.col("eps"))
-    return df.withColumn("s", model_score("l1b")).groupBy("eps").agg(F.round(F.stddev_pop("s"), 6).alias("std"))
+    scored = df.select("eps", "y", model_score("l1b").alias("s"))
+    spread = scored.groupBy("eps").agg(F.round(F.stddev_pop("s"), 6).alias("std"))
+    return spread.join(M.auroc(scored.withColumn("s", F.round("s", 9)), ["eps"]).select("eps", *r6("auroc")), "eps")
 
 
 @query("m14_m17_fusion_tiers", f"""WITH {LABELLED}, x AS (SELECT doc_id, {fused_sql('l1b')} AS p FROM labelled)

@@ -57,7 +57,7 @@ def _(spark, d):
     return M.auroc(rows, ["labels"]).select("labels", *r6("auroc"))
 
 
-@query("s16_s17_d11_score_log", """WITH e AS (SELECT event_id, user_id, value / 500.0 AS v FROM events WHERE value IS NOT NULL)
+@query("d11_tiered_log", """WITH e AS (SELECT event_id, user_id, value / 500.0 AS v FROM events WHERE value IS NOT NULL)
     SELECT event_id, CASE WHEN v >= 0.409 THEN 'high' WHEN v >= 0.245 THEN 'medium' ELSE 'ok' END AS tier FROM e""")
 def _(spark, d):
     """Events as a log of scored answers, tiers as the log's reader computes them row by row."""

@@ -42,11 +42,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("m02_m03_m04_j10_layers", f"""WITH {E_}, {SOFT}, k AS (SELECT * FROM s WHERE vec_id % 2 = 0), j AS (SELECT a.vec_id, a.p AS p, b.p AS q FROM k a JOIN k b ON b.vec_id = a.vec_id + 2)
+@query("m02_m03_j10_layers", f"""WITH {E_}, {SOFT}, j AS (SELECT a.vec_id, a.p AS p, b.p AS q FROM s a JOIN s b ON b.vec_id = a.vec_id + 2)
     SELECT vec_id, round(list_avg(list_transform(range(1, 65), lambda i: abs(list_sort(p)[i] - list_sort(q)[i]))), 9) AS w1, round(list_cosine_similarity(p, q), 6) AS cosine FROM j""")
 def _(spark, d):
-    """Distances of every second vector to the next of them, as of adjacent layers."""
-    rows = vectors(spark, d).where("vec_id % 2 = 0").select("vec_id", A.softmax(F.col("v")).alias("p"))
+    """Distances of each vector to the next but one, as of sampled layers."""
+    rows = vectors(spark, d).select("vec_id", A.softmax(F.col("v")).alias("p"))
     nxt = rows.select((F.col("vec_id") - 2).alias("vec_id"), F.col("p").alias("q"))
     return rows.join(nxt, "vec_id").select("vec_id", F.round(A.wasserstein(F.col("p"), F.col("q")), 9).alias("w1"), F.round(A.cosine(F.col("p"), F.col("q")), 6).alias("cosine"))
 
@@ -93,13 +93,13 @@ def _(spark, d):
     return scores(table(spark, d, "documents")).select("doc_id", F.round(S.sep_hallucination(s, h) + TIE, 6).alias("sep"), S.medium_of(s).alias("medium"), S.clamped(t * 3).alias("clamped"), layers.alias("layers"), A.steered_layer(layers).alias("layer"), S.anchor(F.col("n") % 7, F.lit(3)).alias("anchor"))
 
 
-@query("m24_m25_fallbacks", f"""WITH {SCORES}, o AS (SELECT doc_id, tsv_margin FROM scores WHERE doc_id % 3 = 0) SELECT s.doc_id, coalesce(o.tsv_margin, -1.0) AS margin, CASE WHEN o.doc_id IS NULL THEN 0.0 ELSE s.sep_entropy END AS entropy, CASE WHEN o.doc_id IS NULL THEN 1.0 ELSE s.hallushift END AS accuracy FROM scores s LEFT JOIN o USING (doc_id)""")
+@query("m24_m25_fallbacks", f"""WITH {SCORES}, o AS (SELECT doc_id, tsv_margin FROM scores WHERE doc_id % 3 = 0) SELECT s.doc_id, coalesce(o.tsv_margin, -1.0) AS margin, CASE WHEN o.doc_id IS NULL THEN 0.0 ELSE s.sep_entropy END AS entropy, CASE WHEN o.doc_id IS NULL THEN 1.0 ELSE s.hallushift END AS accuracy, greatest(n % 50 - 2, n % 7) AS anchor FROM scores s LEFT JOIN o USING (doc_id)""")
 def _(spark, d):
-    """Rows without a match get the last token's margin, and (0, 1)."""
+    """Rows without a match get the last token's margin, and (0, 1); a sentence is read at its last token but one."""
     rows = scores(table(spark, d, "documents"))
     own = rows.where("doc_id % 3 = 0").select("doc_id", F.col("tsv_margin").alias("m"))
     j = rows.join(own, "doc_id", "left")
-    return j.select("doc_id", F.coalesce("m", F.lit(-1.0)).alias("margin"), F.when(F.col("m").isNull(), 0.0).otherwise(F.col("sep_entropy")).alias("entropy"), F.when(F.col("m").isNull(), 1.0).otherwise(F.col("hallushift")).alias("accuracy"))
+    return j.select("doc_id", F.coalesce("m", F.lit(-1.0)).alias("margin"), F.when(F.col("m").isNull(), 0.0).otherwise(F.col("sep_entropy")).alias("entropy"), F.when(F.col("m").isNull(), 1.0).otherwise(F.col("hallushift")).alias("accuracy"), S.anchor(F.col("n") % 50, F.col("n") % 7).alias("anchor"))
 
 
 # Lines stand for sentences: their scores, claims and roll-up.
@@ -188,7 +188,7 @@ def _(spark, d):
     return splits.stratified(train, "y", "doc_id", 0.2, seed=1).select("doc_id", "split")
 
 
-@query("k01_s01_slice", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100")
+@query("k01_slice", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50 OFFSET 100")
 def _(spark, d):
     return splits.page(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 50, 100)
 
@@ -198,7 +198,7 @@ def _(spark, d):
     return splits.first_per(labelled(spark, d).select("doc_id", "y"), "y", ["doc_id"], 20)
 
 
-@query("k04_k10_s07_sample", f"SELECT doc_id FROM documents ORDER BY {_key(0)}, doc_id LIMIT 60")
+@query("k04_sample", f"SELECT doc_id FROM documents ORDER BY {_key(0)}, doc_id LIMIT 60")
 def _(spark, d):
     return splits.sample(table(spark, d, "documents").select("doc_id"), "doc_id", 60)
 
@@ -217,24 +217,24 @@ def _(spark, d):
 
 
 # Sources, joins and reshaping.
-@query("s03_w07_dedupe", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
+@query("w07_dedupe", "SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source")
 def _(spark, d):
     return splits.first_per(table(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"], 1)
 
 
-@query("s09_p10_min_chars", "SELECT doc_id, substring(text, 1, 3000) AS evidence, 'Tell me about ' || source || '.' AS prompt FROM documents WHERE length(text) >= 200 AND trim(text) <> ''")
+@query("p10_min_chars", "SELECT doc_id, substring(text, 1, 3000) AS evidence, 'Tell me about ' || source || '.' AS prompt FROM documents WHERE length(text) >= 200 AND trim(text) <> ''")
 def _(spark, d):
     docs = table(spark, d, "documents").where((F.length("text") >= 200) & (F.trim("text") != ""))
     return docs.select("doc_id", F.substring("text", 1, 3000).alias("evidence"), F.format_string("Tell me about %s.", "source").alias("prompt"))
 
 
-@query("s02_s05_s10_references", "SELECT source, list_sort(list_distinct(list(lang) || ['en'])) AS langs, 'qa:' || source AS tag FROM documents GROUP BY source")
+@query("u03_distinct_union", "SELECT source, list_sort(list_distinct(list(lang) || ['en'])) AS langs, 'qa:' || source AS tag FROM documents GROUP BY source")
 def _(spark, d):
     g = table(spark, d, "documents").groupBy("source").agg(F.collect_set("lang").alias("l"))
     return g.select("source", F.array_sort(F.array_distinct(F.concat("l", F.array(F.lit("en"))))).alias("langs"), F.concat(F.lit("qa:"), "source").alias("tag"))
 
 
-@query("s12_w05_running_context", """SELECT conv_id, turn, coalesce(string_agg(CASE WHEN role = 'user' THEN ' Q: ' ELSE ' A: ' END || text || CASE WHEN text LIKE '%.' THEN '' ELSE '.' END, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM conversations""")
+@query("w05_running_context", """SELECT conv_id, turn, coalesce(string_agg(CASE WHEN role = 'user' THEN ' Q: ' ELSE ' A: ' END || text || CASE WHEN text LIKE '%.' THEN '' ELSE '.' END, '') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS context FROM conversations""")
 def _(spark, d):
     """What was said before each turn."""
     said = F.concat(F.when(F.col("role") == "user", " Q: ").otherwise(" A: "), "text", F.when(F.endswith("text", F.lit(".")), "").otherwise("."))
@@ -242,19 +242,19 @@ def _(spark, d):
     return table(spark, d, "conversations").withColumn("said", said).select("conv_id", "turn", F.array_join(F.collect_list("said").over(w), "").alias("context"))
 
 
-@query("s04_qa_pairs", "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next = 'assistant'")
+@query("u05_question_pairs", "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next = 'assistant'")
 def _(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, d, "conversations").withColumns({"answer": F.lead("text").over(w), "next": F.lead("role").over(w)})
     return rows.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-@query("s11_p05_p06_source_mask", "SELECT doc_id, CASE WHEN source LIKE '%1%' THEN 'judge' ELSE 'reference' END AS labeller FROM documents WHERE lang = 'en'")
+@query("p05_source_mask", "SELECT doc_id, CASE WHEN source LIKE '%1%' THEN 'judge' ELSE 'reference' END AS labeller FROM documents WHERE lang = 'en'")
 def _(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.when(F.contains("source", F.lit("1")), "judge").otherwise("reference").alias("labeller"))
 
 
-@query("j06_j07_j08_keyed_join", f"WITH {SCORES} SELECT s.doc_id, sep_entropy, quality, toxic FROM scores s JOIN labels l ON l.doc_id = s.doc_id")
+@query("j06_keyed_join", f"WITH {SCORES} SELECT s.doc_id, sep_entropy, quality, toxic FROM scores s JOIN labels l ON l.doc_id = s.doc_id")
 def _(spark, d):
     """Tables are joined by key, where rows were matched by position."""
     return scores(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id").select("doc_id", "sep_entropy", "quality", "toxic")
@@ -267,7 +267,7 @@ def _(spark, d):
     return scores(table(spark, d, "documents")).join(F.broadcast(t)).select("doc_id", "tag", S.tier(F.col("sep_entropy"), F.col("t_med"), F.col("t_high")).alias("tier"))
 
 
-@query("j14_step_slices", "SELECT user_id, count(*) AS steps, round(avg(value), 6) AS mean FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events) WHERE k >= 1 AND k < 4 GROUP BY user_id HAVING count(*) >= 2")
+@query("k03_first_steps", "SELECT user_id, count(*) AS steps, round(avg(value), 6) AS mean FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events) WHERE k >= 1 AND k < 4 GROUP BY user_id HAVING count(*) >= 2")
 def _(spark, d):
     """Steps [1, 4) of each user, where there are two at least."""
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1

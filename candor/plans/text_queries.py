@@ -133,14 +133,21 @@ def _(spark, d):
 TOKENS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 
 
-@query("t28_t29_k02_evidence", f"""WITH {CHUNKS}, x AS (SELECT b.item_id, c.doc_id, n, chunk, len(list_intersect({TOKENS.format('chunk')}, {TOKENS.format('b.text')})) AS o FROM benchmark b JOIN chunks c ON c.doc_id = b.item_id)
-    , r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o DESC, n) AS r FROM x)
-    SELECT item_id, substring(string_agg(chunk, ' ' ORDER BY r), 1, 3000) AS evidence FROM r WHERE r <= 4 GROUP BY item_id""")
+#: A claim about each document: its first words, backwards.
+CLAIM = "array_to_string(list_reverse(string_split(substring(text, 1, 90), ' ')), ' ')"
+
+
+def claimed(spark: SparkSession, d: str) -> DataFrame:
+    said = F.array_join(F.reverse(F.split(F.substring("text", 1, 90), " ")), " ")
+    return table(spark, d, "documents").where("text <> ''").select("doc_id", said.alias("claim"), "text")
+
+
+@query("t28_t29_k02_evidence", f"""WITH {CHUNKS}, q AS (SELECT doc_id, {CLAIM} AS claim FROM documents WHERE text <> ''), x AS (SELECT doc_id, n, chunk, len(list_intersect({TOKENS.format('chunk')}, {TOKENS.format('claim')})) AS o FROM q JOIN chunks USING (doc_id))
+    , r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o DESC, n) AS r FROM x)
+    SELECT doc_id, substring(string_agg(chunk, ' ' ORDER BY r), 1, 3000) AS evidence FROM r WHERE r <= 4 GROUP BY doc_id""")
 def _(spark, d):
     """The four chunks of a document that overlap most with a claim."""
-    claims = table(spark, d, "benchmark").select("item_id", F.col("text").alias("claim"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text").where("text <> ''")
-    return claims.join(docs, "item_id").select("item_id", T.evidence(T.best_chunks(F.col("claim"), T.chunks(F.col("text")))).alias("evidence"))
+    return claimed(spark, d).select("doc_id", T.evidence(T.best_chunks(F.col("claim"), T.chunks(F.col("text")))).alias("evidence")).where("evidence <> ''")
 
 
 @query("t30_u03_gold_strings", f"SELECT id, coalesce(nullif(array_to_string(list_filter(refs, lambda r: trim(r) <> ''), '; '), ''), '(unknown)') AS gold FROM {QA_SQL}")
@@ -151,7 +158,7 @@ def _(spark, d):
 SPAN_SQL = values([(i, *s) for i, s in enumerate(SPANS)], "id, sentence, span, raw")
 
 
-@query("t31_t32_spans")
+@query("t31_t32_spans", "SELECT CAST(id AS BIGINT) AS id, s AS start, e AS end, valid FROM (VALUES (0, 0, 5, 'Paris'), (1, 0, 5, 'Paris'), (2, 24, 30, 'Paris'), (3, 9, 30, NULL), (4, NULL, NULL, NULL), (5, NULL, NULL, NULL), (6, 0, 9, 'here')) t(id, s, e, valid)")
 def _(spark, d):
     rows = spark.createDataFrame([(i, *s) for i, s in enumerate(SPANS)], "id long, sentence string, span string, raw string")
     at = T.locate(F.col("sentence"), F.col("span"))
@@ -264,16 +271,17 @@ def _(spark, d):
     return out.select("id", F.round("score", 6).alias("score"), "label")
 
 
-@query("j05_a06_l05_evidence_labels", f"""WITH {CHUNKS}, p AS (SELECT doc_id, (doc_id * 7 + n * 13) % 10 / 10.0 AS e, (doc_id * 3 + n * 5) % 10 / 10.0 AS c FROM chunks)
-    SELECT doc_id, CAST(max(e) AS DOUBLE) AS entail, CAST(max(c) AS DOUBLE) AS contradict, CASE WHEN max(e) >= 0.5 THEN 0 WHEN max(c) >= 0.5 THEN 1 ELSE -1 END AS label FROM p GROUP BY doc_id""")
+@query("j05_a06_l05_evidence_labels", f"""WITH {CHUNKS}, q AS (SELECT doc_id, {CLAIM} AS claim FROM documents WHERE text <> ''), p AS (SELECT doc_id, len(list_intersect({TOKENS.format('chunk')}, {TOKENS.format('claim')})) / greatest(len({TOKENS.format('claim')}), 1) AS e, (doc_id * 3 + n * 5) % 10 / 10.0 AS c FROM chunks JOIN q USING (doc_id))
+    SELECT doc_id, round(max(e), 6) AS entail, CAST(max(c) AS DOUBLE) AS contradict, CASE WHEN max(e) >= 0.5 THEN 0 WHEN max(c) >= 0.5 THEN 1 ELSE -1 END AS label FROM p GROUP BY doc_id""")
 def _(spark, d):
-    """Chunks with (stand-in) entailment scores, to a label per document."""
-    c = table(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("n", "chunk"))
-    scored = c.select("doc_id", ((F.col("doc_id") * 7 + F.col("n") * 13) % 10 / 10.0).alias("entail"), ((F.col("doc_id") * 3 + F.col("n") * 5) % 10 / 10.0).alias("contradict"))
-    return L.evidence_labels(scored, "doc_id", "confident")
+    """Each claim with each chunk of its document, scored (entailment by shared words), to a label per document."""
+    pairs = claimed(spark, d).select("doc_id", "claim", F.posexplode(T.chunks(F.col("text"))).alias("n", "chunk"))
+    entail = T.overlap(F.col("chunk"), F.col("claim")) / F.greatest(F.size(T.tokens(F.col("claim"))), F.lit(1))
+    scored = pairs.select("doc_id", entail.alias("entail"), ((F.col("doc_id") * 3 + F.col("n") * 5) % 10 / 10.0).alias("contradict"))
+    return L.evidence_labels(scored, "doc_id", "confident").withColumn("entail", F.round("entail", 6))
 
 
-@query("j03_a07_l07_comparative", f"""WITH {CHUNKS}, p AS (SELECT doc_id, CASE WHEN n % 2 = 0 THEN 'correct' ELSE 'incorrect' END AS kind, (doc_id * 7 + n * 13) % 10 / 10.0 AS s FROM chunks)
+@query("a07_comparative_chunks", f"""WITH {CHUNKS}, p AS (SELECT doc_id, CASE WHEN n % 2 = 0 THEN 'correct' ELSE 'incorrect' END AS kind, (doc_id * 7 + n * 13) % 10 / 10.0 AS s FROM chunks)
     SELECT doc_id, CASE WHEN coalesce(max(s) FILTER (kind = 'correct'), -1e9) > coalesce(max(s) FILTER (kind = 'incorrect'), -1e9) THEN 0 ELSE 1 END AS label FROM p GROUP BY doc_id""")
 def _(spark, d):
     c = table(spark, d, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("n", "chunk"))
@@ -289,8 +297,6 @@ def _(spark, d):
     return rows.agg(F.count("*").alias("n"), F.count_if("extracted").alias("extracted"), F.count_if(F.col("gold") & F.col("extracted") & ~F.col("match")).alias("wrong_span"), F.count_if(F.col("gold") & ~F.col("extracted")).alias("missed_span"))
 
 
-@query("u04_overlap", f"SELECT b.item_id, CAST(len(list_intersect({TOKENS.format('b.text')}, {TOKENS.format('d.text')})) AS INT) AS overlap FROM benchmark b JOIN documents d ON b.item_id = d.doc_id")
+@query("u04_overlap", f"SELECT doc_id, CAST(len(list_intersect({TOKENS.format(CLAIM)}, {TOKENS.format('text')})) AS INT) AS overlap FROM documents WHERE text <> ''")
 def _(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return b.join(docs, "item_id").select("item_id", T.overlap(F.col("b"), F.col("text")).alias("overlap"))
+    return claimed(spark, d).select("doc_id", T.overlap(F.col("claim"), F.col("text")).alias("overlap"))
