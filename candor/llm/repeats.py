@@ -113,8 +113,8 @@ def _anchors_of(kind: type, length: int, gram: int) -> Callable:
                 doc = part.column("doc").to_numpy()[row]
                 left, state = seen.states(name, around, doc, tp)
                 name, around, doc, tp, lr = name[left], around[left], doc[left], tp[left], lr[left]
-                spread = mixed((doc ^ tp).view(np.uint64) + np.uint64(1))  # later ones meet nothing: any place will do
-                name = np.where(state == LATER, spread, name)
+                # later ones meet nothing, so any place will do: those of a document travel together, which packs well
+                name, around = np.where(state == LATER, mixed(doc.view(np.uint64)), name), np.where(state == LATER, np.uint64(0), around)
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(around.view(np.int64)), pa.array(doc), pa.array(tp), pa.array(lr), pa.array(state.astype(np.int8))], ["name", "ctx", "doc", "tp", "lr", "state"])
 
     return go
@@ -213,6 +213,7 @@ def find(docs: DataFrame, kind: type, length: int, gram: int, earlier: bool, res
     small_batches(docs.sparkSession)
     rows = keyed(docs)
     found = rows.mapInArrow(_anchors_of(kind, length, gram), "name long, ctx long, doc long, tp long, lr int, state tinyint")
+    found = found.repartition("name")  # serves both windows
     same = Window.partitionBy("name", "ctx").orderBy("doc", "tp")
     name = Window.partitionBy("name")
     differs = lambda d, t: (d != F.col("doc")) | (t != F.col("tp"))
