@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts of one Arrow batch are worked on in slices of about this many bytes; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Rows of an Arrow batch handed to Python; with it a batch of long texts stays small.
 BATCH_ROWS = 256
 
