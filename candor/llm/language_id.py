@@ -33,9 +33,9 @@ CUBE = LETTERS**3
 UNDETERMINED = "und"
 #: Languages that can be learnt at most; each takes 2 MB of the table that is broadcast. More are an error.
 MOST_LANGUAGES = 256
-#: Cosine with the best prototype under which a text is in none of the languages. Of held-out documents of a few words the least was
-#: 0.07; texts without any common letter sequence are about 0.
-LEAST_COSINE = 0.02
+#: A text is in none of the languages if its cosine with the best prototype isn't above this: clean texts of a few words have small
+#: positive ones, texts without any letter sequence of the languages have 0.
+LEAST_COSINE = 0.0
 #: How sharply cosines turn into a score.
 SHARPNESS = 24.0
 
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, langs: list[str], dots: np.ndarray) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """The rows of docs whose text has a cosine of `least` or more with some language's prototype, with all their columns: a
+    """The rows of docs whose text has a cosine above `least` with some language's prototype, with all their columns: a
     bound on the fit of the text itself, whatever the number of languages. If there is nothing to learn from, nothing can be
     rejected."""
     spark = docs.sparkSession
@@ -184,7 +184,7 @@ def accepted(docs: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 best, _, near = _scored(part.column("text").to_pylist(), shared.value)
-                yield part.filter(pa.array((best < len(langs)) & (near >= least)))
+                yield part.filter(pa.array((best < len(langs)) & (near > least)))
 
     return docs.mapInArrow(keep, docs.schema)
 
