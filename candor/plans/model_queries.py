@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.operators import fitting
+from candor.functions import arrays as A
+from candor.operators import fitting, head, splits
 from candor.operators import metrics as M
 from candor.operators.splits import stratified
 from candor.plans.base import DETECTORS, LABELLED, labelled, r6, table
+from candor.plans.number_queries import CENTROIDS, E_, centroids, vectors
 from candor.streaming import score_log
 
 QUERIES, ORACLES = {}, {}
@@ -63,3 +65,39 @@ def _(spark, d):
     """Events as a log of scored answers, tiers as the log's reader computes them row by row."""
     log = table(spark, d, "events").where("value is not null").select("event_id", F.array(F.struct(F.lit(True).alias("is_claim"), (F.col("value") / 500.0).alias("fused"))).alias("sentences"))
     return score_log.tiered(log, 0.245, 0.409).select("event_id", "tier")
+
+
+@query("f04_f05_f06_head")
+def _(spark, d):
+    """Embeddings stand for the features of a model of 28 layers: 4 * 13 + 11 of their 64 values. The fit stops after 30 epochs, a pass
+    each, as it shows the operator; the operator's own number is 300."""
+    rows = vectors(spark, d).select("vec_id", F.slice("v", 1, head.width(28)).alias("v"), (F.col("label") % 2).cast("int").alias("y"))
+    rows = stratified(rows, "y", "vec_id", 0.25)
+    model, _ = head.fit(rows, "v", "y", "vec_id", 28, epochs=30)
+    scored = rows.where("split = 'test'").select(F.lit("head").alias("detector"), "y", model.score(F.col("v")).alias("s"))
+    return M.auroc(scored, ["detector"]).join(M.average_precision(scored, ["detector"]), "detector").select("detector", *r6("auroc", "ap"))
+
+
+_ROUNDS = 3
+_BALANCE = "".join(
+    f""", q{i} AS (SELECT vec_id, a * f0 / (a * f0 + b * f1) AS p0, b * f1 / (a * f0 + b * f1) AS p1, a, b, f0, f1 FROM e, f{i})
+    , f{i + 1} AS (SELECT f0 * 0.7::DOUBLE * count(*) / sum(p0) AS f0, f1 * 0.3::DOUBLE * count(*) / sum(p1) AS f1 FROM q{i} GROUP BY f0, f1)"""
+    for i in range(_ROUNDS)
+)
+
+
+@query("f08_pseudo_labels", f"""WITH {E_.replace("e AS", "u0 AS", 1)}, {CENTROIDS.replace("FROM e", "FROM u0")}
+    , j AS (SELECT vec_id, list_cosine_similarity(v, (SELECT c FROM c WHERE cls = 0)) AS h, list_cosine_similarity(v, (SELECT c FROM c WHERE cls = 1)) AS t FROM u0)
+    , e AS (SELECT vec_id, exp((h - greatest(h, t)) / 0.05::DOUBLE) AS a, exp((t - greatest(h, t)) / 0.05::DOUBLE) AS b FROM j)
+    , f0 AS (SELECT 1.0::DOUBLE AS f0, 1.0::DOUBLE AS f1){_BALANCE}
+    , p AS (SELECT vec_id, a * f0 / (a * f0 + b * f1) AS p0, b * f1 / (a * f0 + b * f1) AS p1 FROM e, f{_ROUNDS})
+    , n AS (SELECT vec_id, p0, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS cls, round(-p0 * ln(p0) - p1 * ln(p1), 9) AS h FROM p)
+    , r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY h, vec_id) AS r, row_number() OVER (ORDER BY h, vec_id) AS r_all FROM n)
+    , g AS (SELECT count(*) FILTER (cls = 0) < 28 OR count(*) FILTER (cls = 1) < 12 AS short FROM n)
+    SELECT vec_id, CAST(cls AS BIGINT) AS cls, round(p0, 6) AS p0, round(h, 6) AS entropy FROM r, g WHERE CASE WHEN short THEN r_all <= 40 ELSE r <= CASE cls WHEN 0 THEN 28 ELSE 12 END END""")
+def _(spark, d):
+    """Similarities to the class centroids, balanced to shares of 0.7 and 0.3, and the 40 surest rows by class (the selection is the feature)."""
+    rows = vectors(spark, d).join(F.broadcast(centroids(vectors(spark, d))))
+    rows = rows.select("vec_id", F.array(A.cosine(F.col("v"), F.col("h")), A.cosine(F.col("v"), F.col("t"))).alias("s"))
+    rows = head.pseudo_labels(rows, "s", [0.7, 0.3], rounds=_ROUNDS).select("vec_id", F.col("pseudo")[0].alias("p0"), F.when(F.col("pseudo")[1] > F.col("pseudo")[0], 1).otherwise(0).cast("long").alias("cls"), F.round("entropy", 9).alias("entropy"))
+    return splits.confident(rows, "cls", "entropy", {0: 0.7, 1: 0.3}, 40, "vec_id").select("vec_id", "cls", *r6("p0", "entropy"))

@@ -75,14 +75,18 @@ CENTROIDS = """u AS (SELECT vec_id, label, v, unnest(v) AS x, generate_subscript
     , m AS (SELECT label % 2 AS cls, k, avg(x / n) AS x FROM u GROUP BY ALL), c AS (SELECT cls, list(x ORDER BY k) AS c FROM m GROUP BY cls)"""
 
 
+def centroids(rows: DataFrame) -> DataFrame:
+    """One row: h and t, the centroids of the even and the odd labels, which are per-dimension means of unit vectors."""
+    dims = rows.select((F.col("label") % 2).alias("cls"), F.posexplode(A.unit(F.col("v"))).alias("k", "x")).groupBy("cls", "k").agg(F.avg("x").alias("x"))
+    c = dims.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("c"))
+    return c.groupBy().agg(F.max(F.when(F.col("cls") == 0, F.col("c"))).alias("h"), F.max(F.when(F.col("cls") == 1, F.col("c"))).alias("t"))
+
+
 @query("j12_m15_f07_centroid_margin", f"""WITH {E_}, {CENTROIDS}, j AS (SELECT vec_id, list_cosine_similarity(v, (SELECT c FROM c WHERE cls = 0)) AS h, list_cosine_similarity(v, (SELECT c FROM c WHERE cls = 1)) AS t FROM e)
     SELECT vec_id, round(h - t, 6) AS margin, round(1 - exp(t / 0.1) / (exp(t / 0.1) + exp(h / 0.1)), 6) AS tsv FROM j""")
 def _(spark, d):
-    """Centroids are per-dimension means of unit vectors; two rows, so they are broadcast."""
     rows = vectors(spark, d)
-    dims = rows.select((F.col("label") % 2).alias("cls"), F.posexplode(A.unit(F.col("v"))).alias("k", "x")).groupBy("cls", "k").agg(F.avg("x").alias("x"))
-    c = dims.groupBy("cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("c"))
-    both = c.groupBy().agg(F.max(F.when(F.col("cls") == 0, F.col("c"))).alias("h"), F.max(F.when(F.col("cls") == 1, F.col("c"))).alias("t"))
+    both = centroids(rows)
     return rows.join(F.broadcast(both)).select("vec_id", S.tsv(F.col("v"), F.col("h"), F.col("t")).alias("x")).select("vec_id", F.round("x.margin", 6).alias("margin"), F.round("x.tsv", 6).alias("tsv"))
 
 
