@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import chat, decontamination, language_id, near_duplicates, neighbours, packing, sanitisation, substrings, suffix_arrays, toxicity
+from candor.llm import chat, clustering, decontamination, language_id, licenses, near_duplicates, neighbours, packing, phrases, sanitisation, substrings, suffix_arrays, toxicity
 from candor.llm.common import table
 
 
@@ -65,6 +65,24 @@ def op2_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", *counts, F.sha2(sanitisation.listed(F.col("base")), 256).alias("base_sha256"), sanitisation.listed(F.col("spans")).alias("spans"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and labels of the spans; the spans themselves are in `licenses.scan`."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["exact"])
+    labels = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda x: x["label"]))), ",")
+    starts = F.transform(base, lambda x: x["start"].cast("long"))
+    score = F.coalesce(F.array_max(F.transform("spans", lambda x: x["score"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("spans")).alias("labels"), score.alias("score"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_sanitisation": op2_sanitisation,
     "op5_decontamination": op5_decontamination,
@@ -76,8 +94,22 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_language_id": op9_language_id,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_license_scans": op12_license_scans,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
+
+def _rounds() -> str:
+    """Lloyd's rounds as one common table each."""
+    centroid = "SELECT g.c, [CAST(((s - ((s % n) + n) % n) // n) AS BIGINT) FOR s IN g.sums] AS v FROM (SELECT c, n, list(s ORDER BY i) AS sums FROM (SELECT c, i, count(*) AS n, sum(CAST(q[i] AS HUGEINT)) AS s FROM a{r}, range(1, 65) AS t(i) GROUP BY c, i) GROUP BY c, n) g"
+    assigned = "a{r} AS (SELECT vec_id, q, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT k.rid, k.vec_id, k.q, o.c, CAST(list_sum([CAST((z[1] - z[2]) * (z[1] - z[2]) AS HUGEINT) FOR z IN list_zip(k.q, o.v)]) AS BIGINT) AS d FROM kept k, c{r} o) GROUP BY rid, vec_id, q)"
+    parts = [assigned.format(r=0)]
+    for r in range(clustering.ROUNDS):
+        parts.append(f"c{r + 1} AS ({centroid.format(r=r)} UNION ALL SELECT c, v FROM c{r} WHERE c NOT IN (SELECT c FROM a{r}))")
+        parts.append(assigned.format(r=r + 1))
+    return ", ".join(parts)
+
 #: DuckDB SQL where it can express the operator.
 ORACLES: dict[str, str] = {
     "op7_chat_formatting": r"""
@@ -93,4 +125,35 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(chars) AS BIGINT) AS formatted_chars
         FROM put GROUP BY conv_id""",
+    "op11_centroid_clustering": f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS rid, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+            WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        c0 AS (SELECT CAST(row_number() OVER (ORDER BY o, q) - 1 AS INTEGER) AS c, q AS v FROM (SELECT sha256('1:' || vec_id) AS o, q FROM kept) ORDER BY o, q LIMIT 16),
+        {_rounds()}
+        SELECT a.vec_id, a.c AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(o.v, ',')) AS centroid_sha256
+        FROM a{clustering.ROUNDS} a JOIN c{clustering.ROUNDS} o ON a.c = o.c""",
+    "op13_phrase_collocations": r"""
+        WITH pieces AS (
+            SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+        words AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[ \t]+') IF x <> ''] AS ws FROM pieces),
+        f AS (
+            SELECT lang, k, g, count(*) AS a FROM (
+                SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS g FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM words, range(1, 6) AS t(k) WHERE len(ws) >= k))
+            GROUP BY ALL),
+        total AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+        candidates AS MATERIALIZED (SELECT lang, k AS size, g, a FROM f WHERE k > 1 AND a >= 100),
+        cuts AS (SELECT lang, size, g, a, string_split(g, ' ') AS ws, unnest(range(1, size)) AS k FROM candidates),
+        scored AS (
+            SELECT c.lang, c.g, c.a, c.k, l.a AS l, r.a AS r, t.n, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+            FROM cuts c JOIN total t ON t.lang = c.lang
+            JOIN f l ON l.lang = c.lang AND l.k = c.k AND l.g = array_to_string(c.ws[1:c.k], ' ')
+            JOIN f r ON r.lang = c.lang AND r.k = c.size - c.k AND r.g = array_to_string(c.ws[c.k + 1:], ' ')),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        kept AS (
+            SELECT b.* FROM best b WHERE NOT EXISTS (
+                SELECT 1 FROM candidates c WHERE c.lang = b.lang AND len(c.g) > len(b.g) AND contains(' ' || c.g || ' ', ' ' || b.g || ' ') AND 100 * c.a >= 100 * b.a))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, score
+        FROM kept QUALIFY rank <= 2000""",
 }

@@ -38,8 +38,15 @@ class _Powers:
 
 POWERS, INVERSES = _Powers(_BASE), _Powers(_INVERSE)
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+def bytes_of(*codes: int) -> np.ndarray:
+    """A table of 256 that is true at the codes."""
+    out = np.zeros(256, bool)
+    out[list(codes)] = True
+    return out
+
+
+_SPACE = bytes_of(0x20, *range(0x09, 0x0E))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -56,13 +63,18 @@ def spans_hashed(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mixed((sums[end] - sums[start]) * INVERSES.upto(len(sums))[start] + (end - start).astype(np.uint64))
 
 
-def find_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, runs of bytes that aren't white space, of texts laid end to end: hash, text number, begin and end byte.
-    lower: A-Z count as a-z."""
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _LOWER[raw]
+
+
+def find_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, runs of bytes that don't set words apart (white space), of texts laid end to end: hash, text number, begin and end
+    byte. lower: A-Z count as a-z."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    inside = ~_SPACE[raw]
+    inside = ~apart[raw]
     cut = np.zeros(len(raw) + 1, bool)  # a text begins here
     cut[offsets] = True
     before = np.zeros(len(raw), bool)
@@ -73,7 +85,7 @@ def find_words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tup
     after[:-1] = inside[1:]
     after[cut[1:]] = False
     end = np.flatnonzero(inside & ~after) + 1
-    raw = _LOWER[raw] if lower else raw
+    raw = lowered(raw) if lower else raw
     hashes = spans_hashed(prefix_sums(raw), start, end)
     for i in np.flatnonzero(end - start > LONG_WORD):
         hashes[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
