@@ -15,6 +15,32 @@ def bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def running(values: Column, zero: Column, merge) -> Column:
+    """merge(... merge(zero, first) ..., this) for every item. An array grown item by item is copied each time, so items go in parts of
+    about the square root of their number: the copies are n * sqrt(n) items instead of n * n."""
+
+    def within(part: Column, before: Column) -> Column:
+        start = F.struct(before.alias("at"), F.slice(F.array(before), 1, 0).alias("out"))
+        step = lambda acc, x: F.struct(merge(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(merge(acc["at"], x))).alias("out"))
+        return F.aggregate(part, start, step, lambda acc: acc["out"])
+
+    def of(xs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        firsts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), size), lambda i: i < F.size(xs))
+        return bound(F.transform(firsts, lambda i: F.slice(xs, i + 1, size)), whole)
+
+    def whole(parts: Column) -> Column:
+        before = F.concat(F.array(zero), within(F.transform(parts, lambda p: F.aggregate(p, zero, merge)), zero))
+        return F.flatten(F.zip_with(parts, F.slice(before, 1, F.size(parts)), within))
+
+    return bound(values, of)
+
+
+def running_sum(values: Column) -> Column:
+    """Sums of the items up to and with each, of an array<int>."""
+    return running(values, F.lit(0), lambda a, x: a + x)
+
+
 def softmax(x: Column) -> Column:
     def scaled(pair: Column) -> Column:
         return bound(F.transform(pair, lambda v: F.exp(v - F.array_max(pair))), lambda e: bound(total(e), lambda t: F.transform(e, lambda v: v / t)))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from candor.functions.arrays import bound
+from candor.functions.arrays import bound, running_sum
 
 # Patterns, word lists and limits that define the results. Digits are [0-9], as Spark's and DuckDB's pattern engines
 # don't agree on which characters \\d means.
@@ -90,8 +90,12 @@ def any_of(text: Column, patterns: list[str], prefix: str = "(?i)") -> Column:
     return text.rlike(prefix + "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
 
 
+#: White space as patterns take it.
+BLANK = " \t\n\x0b\f\r"
+
+
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def word_count(text: Column) -> Column:
@@ -134,18 +138,17 @@ def _unmarked(part: Column) -> Column:
 
 
 def _located(text: Column, separator: str, offset: Column, source: Column) -> Column:
-    """The parts of text between separators, stripped, with their places; empty ones dropped. Places are sums of the lengths of the
-    parts and separators before."""
+    """The parts of text between separators, stripped, with their places; empty ones dropped. Places are running sums of the lengths
+    of the parts and separators before."""
 
-    def step(acc: Column, x: Column) -> Column:
+    def placed(x: Column, end: Column) -> Column:
         part = stripped(x["part"])
-        begin = acc["at"] + F.length(x["part"]) - F.length(F.regexp_replace(x["part"], r"^\s+", ""))
-        new = F.struct(part.alias("sentence"), begin.cast("int").alias("start"), (begin + F.length(part)).cast("int").alias("end"), source.alias("source"))
-        return F.struct((acc["at"] + F.length(x["part"]) + x["gap"]).cast("int").alias("at"), F.when(part == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(new))).alias("out"))
+        begin = offset + end - x["step"] + F.length(x["part"]) - F.length(F.ltrim(x["part"], F.lit(BLANK)))
+        return F.struct(part.alias("sentence"), begin.cast("int").alias("start"), (begin + F.length(part)).cast("int").alias("end"), source.alias("source"))
 
     gaps = F.transform(F.regexp_extract_all(text, F.lit(separator), F.lit(0)), lambda g: F.length(g))
-    pairs = F.zip_with(F.transform(F.split(text, separator), _unmarked), gaps, lambda p, g: F.struct(p.alias("part"), F.coalesce(g, F.lit(0)).alias("gap")))
-    return F.aggregate(pairs, F.struct(offset.cast("int").alias("at"), F.array().cast(SENTENCES).alias("out")), step, lambda acc: acc["out"])
+    parts = F.zip_with(F.transform(F.split(text, separator), _unmarked), gaps, lambda p, g: F.struct(p.alias("part"), (F.length(p) + F.coalesce(g, F.lit(0))).alias("step")))
+    return bound(parts, lambda xs: F.filter(F.zip_with(xs, running_sum(F.transform(xs, lambda x: x["step"])), placed), lambda x: x["sentence"] != ""))
 
 
 def blocks(text: Column) -> Column:
@@ -181,21 +184,25 @@ def has_facts(text: Column) -> Column:
 
 def fast_pass(sentence: Column) -> Column:
     """False for sentences that are no claims by rule, null for those that need a classifier."""
-    t, words = stripped(sentence), word_count(sentence)
-    plain = F.regexp_replace(F.lower(t), r"[!.,;:?]+$", "")
     no = F.lit(False)
-    return (
-        F.when(words < 3, F.when(t.rlike("[0-9]"), F.lit(None).cast("boolean")).otherwise(no))
-        .when(plain.isin(FILLERS) | F.concat(plain, F.lit(".")).isin(FILLERS), no)
-        .when(any_of(t, META), no)
-        .when(any_of(t, ADVISORY) & ~t.rlike(PROPER_NOUN), no)
-        .when(any_of(t, HEDGING), no)
-        .when(any_of(t, REFUSAL), no)
-        .when(t.rlike(LABEL) & (words <= 10), no)
-        .when(any_of(t, [QUESTION]), no)
-        .when(any_of(t, [GREETING]) & (words < 6), no)
-        .otherwise(F.lit(None).cast("boolean"))
-    )
+
+    def rules(x: Column) -> Column:
+        t, words, plain = x["t"], x["words"], x["plain"]
+        return (
+            F.when(words < 3, F.when(t.rlike("[0-9]"), F.lit(None).cast("boolean")).otherwise(no))
+            .when(plain.isin(FILLERS) | F.concat(plain, F.lit(".")).isin(FILLERS), no)
+            .when(any_of(t, META), no)
+            .when(any_of(t, ADVISORY) & ~t.rlike(PROPER_NOUN), no)
+            .when(any_of(t, HEDGING), no)
+            .when(any_of(t, REFUSAL), no)
+            .when(t.rlike(LABEL) & (words <= 10), no)
+            .when(any_of(t, [QUESTION]), no)
+            .when(any_of(t, [GREETING]) & (words < 6), no)
+            .otherwise(F.lit(None).cast("boolean"))
+        )
+
+    bare = F.regexp_replace(F.lower(stripped(sentence)), r"[!.,;:?]+$", "")
+    return bound(F.struct(stripped(sentence).alias("t"), word_count(sentence).alias("words"), bare.alias("plain")), rules)
 
 
 def classified(top_is_claim: Column, score: Column, sentence: Column) -> Column:

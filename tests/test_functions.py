@@ -132,3 +132,25 @@ def test_null_texts(spark):
     df = spark.createDataFrame([(None,)], "t string")
     r = df.select(T.sentences(F.col("t")).alias("s"), T.is_claim(F.col("t")).alias("c"), T.is_refusal(F.col("t")).alias("r"), T.verdict(F.col("t")).alias("v")).first()
     assert r["s"] == [] and r["c"] is False and r["r"] is False and r["v"] == 1
+
+
+def test_running_equals_plain_sums(spark):
+    lists = [[], [5], [1, 2], list(range(10)), [7] * 101, [3, -4, 9, 0, 2] * 40]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    top = A.running(F.col("x"), F.lit(-1), lambda a, v: F.greatest(a, v))
+    for x, r in zip(lists, df.select("x", A.running_sum(F.col("x")).alias("s"), top.alias("m")).collect(), strict=True):
+        assert r["x"] == x and r["s"] == [sum(x[: i + 1]) for i in range(len(x))] and r["m"] == [max([-1, *x[: i + 1]]) for i in range(len(x))]
+
+
+def test_a_text_of_100000_sentences(spark):
+    """The places are right to the end, and the time follows the number of sentences."""
+    import time
+
+    took = {}
+    for n in (1000, 50_000, 100_000):
+        df = spark.createDataFrame([("Emile wént home at 5. " * n,)], "text string")
+        began = time.time()
+        r = df.select(T.sentences(F.col("text")).alias("s")).select(F.size("s").alias("n"), F.element_at("s", -1).alias("last")).first()
+        took[n] = time.time() - began
+        assert r["n"] == n and (r["last"]["start"], r["last"]["end"]) == (22 * (n - 1), 22 * n - 1)
+    assert took[100_000] < max(20, 4 * took[50_000])
