@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from candor.functions.arrays import running_sum
+
+#: Code points of a block.
+BLOCK = 4096
 SPANS = "array<struct<start:int,end:int,said:string>>"
 
 
@@ -30,20 +34,25 @@ def shingle_hashes(text: Column, k: int) -> Column:
 
 
 def occurrences(text: Column, pattern: Column | str) -> Column:
-    """Leftmost non-overlapping matches: begin and end in code points, and what was matched. The text between matches
-    and the matches themselves, measured in turn, give the places."""
+    """Leftmost non-overlapping matches: begin and end in code points, and what was matched. The running sum of the lengths of the
+    text between matches and of the matches themselves gives the places, so the time follows the text and its matches."""
     rx = F.lit(pattern) if isinstance(pattern, str) else pattern
 
     def placed(said: Column) -> Column:
-        between = F.split(text, rx, -1)
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+        steps = F.zip_with(F.slice(F.split(text, rx, -1), 1, F.size(said)), said, lambda b, s: F.length(b) + F.length(s))
+        span = lambda s, end: F.struct((end - F.length(s)).alias("start"), end.alias("end"), s.alias("said"))
+        return F.when(F.size(said) > 0, F.zip_with(said, running_sum(steps), span)).otherwise(F.array().cast(SPANS))
 
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + F.length(x["b"])
-            end = begin + F.length(x["s"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["s"].alias("said")))).alias("out"))
+    return bound(F.regexp_extract_all(text, rx, F.lit(0)), placed)
 
-        pairs = F.zip_with(F.slice(between, 1, F.size(said)), said, lambda b, s: F.struct(b.alias("b"), s.alias("s")))
-        return F.when(F.size(said) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
 
-    return bound(F.regexp_extract_all(text, rx, F.lit(0)), placed)
+def blocks(text: Column) -> Column:
+    """The text in parts of BLOCK code points, from which `cut` takes pieces without going through the text from its beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(parts: Column, begin: Column, end: Column) -> Column:
+    """Code points [begin, end) of a text in blocks."""
+    first = F.floor(begin / BLOCK).cast("int")
+    last = F.floor((F.greatest(end, begin + 1) - 1) / BLOCK).cast("int")
+    return F.substr(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), begin - first * BLOCK + 1, F.greatest(end - begin, F.lit(0)))

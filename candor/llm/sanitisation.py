@@ -24,8 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candor.functions.arrays import running
 from candor.llm.common import staged
-from candor.llm.native import occurrences
+from candor.llm.native import blocks, bound, cut, occurrences
 
 #: In the order in which spans that begin together are listed.
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -75,16 +76,23 @@ def _checked(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _surroundings(text: Column) -> Column:
+    """entity and near (the NEAR characters on either side, in lower case, without words cut by their edge) of each mention."""
+
+    def of(x: Column) -> Column:
+        size = F.lit(NEAR)
+        before = lambda y: F.regexp_replace(cut(x["parts"], F.greatest(F.lit(0), y["start"] - size), y["start"]), r"^\p{L}++", "")
+        after = lambda y: F.regexp_replace(cut(x["parts"], y["end"], y["end"] + size), r"\p{L}++$", "")
+        return F.transform(x["spans"], lambda y: F.struct(F.concat_ws(":", y["kind"], F.lower(y["said"])).alias("entity"), F.lower(F.concat(before(y), F.lit(" | "), after(y))).alias("near")))
+
+    return bound(F.struct(blocks(text).alias("parts"), base_spans(text).alias("spans")), of)
+
+
 def disclosing(docs: DataFrame) -> DataFrame:
     """term, action (`generalise` or `remove`), bits, of terms that disclose an entity."""
     text = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    mentions = text.select("text", F.explode(base_spans(F.col("text"))).alias("x"))
-    # around a mention, words cut by the edge of the surroundings are dropped
-    before = F.regexp_replace(F.substr("text", F.greatest(F.lit(1), F.col("x.start") - NEAR + 1), F.least(F.lit(NEAR), F.col("x.start"))), r"^\p{L}++", "")
-    after = F.regexp_replace(F.substr("text", F.col("x.end") + 1, F.lit(NEAR)), r"\p{L}++$", "")
-    near = F.lower(F.concat(before, F.lit(" | "), after))
-    entity = F.concat_ws(":", F.col("x.kind"), F.lower("x.said"))
-    mentions = staged(mentions.select(F.xxhash64("text").alias("tk"), entity.alias("entity"), near.alias("near")), "mentions")
+    # what is computed of the text is so before its mentions become rows
+    mentions = staged(text.select(F.xxhash64("text").alias("tk"), _surroundings(F.col("text")).alias("found")).select("tk", F.inline("found")), "mentions")
     words = mentions.select("tk", "entity", "near", F.explode(F.array_distinct(F.filter(F.split("near", TERM), lambda w: F.length(w) >= 3))).alias("term"))
     # a term has as many uses at least as there are texts that have it near an entity: where they are too many for its
     # share, as with common words, its uses needn't be counted
@@ -140,13 +148,15 @@ def sanitised(docs: DataFrame) -> DataFrame:
         action = F.get(F.filter("actions", lambda a: a["term"] == F.lower(x["said"])), F.lit(0))["action"]
         return F.when(x["kind"] < 4, F.get(label, x["kind"])).when(action == "remove", LABELS["remove"]).otherwise(LABELS["generalise"])
 
-    def step(acc: Column, x: Column) -> Column:
-        new = F.concat(acc["out"], F.array(F.substr("said", acc["at"] + 1, x["start"] - acc["at"]), x["label"]))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"))
+    def put_in(x: Column) -> Column:
+        # what is covered before each span: the largest end so far
+        ends = running(F.transform(x["spans"], lambda y: y["end"]), F.lit(0), lambda a, e: F.greatest(a, e))
+        covered = F.concat(F.array(F.lit(0)), ends)
+        pieces = F.zip_with(x["spans"], F.slice(covered, 1, F.size(ends)), lambda y, at: F.when(y["start"] >= at, F.concat(cut(x["parts"], at, y["start"]), y["label"])).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), cut(x["parts"], F.element_at(covered, -1), F.length("said")))
 
     spans = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), named(x).alias("label")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("said", acc["at"] + 1, F.length("said"))))
+    new = bound(F.struct(blocks(F.col("said")).alias("parts"), spans.alias("spans")), put_in)
     out = found.select("row", F.when(F.col("row.text").isNotNull(), F.when(F.size("spans") > 0, new).otherwise(F.col("said"))).alias("new"))
     kinds = dict(docs.dtypes)
     put = {"text": F.col("new").cast(kinds["text"])}
