@@ -1,61 +1,41 @@
 """Ranking and classification metrics as grouped aggregates over (keys, y, s): y is 0 or 1 (1: hallucinated), s the score.
 
-Rows are first counted by distinct score, so what is ordered is distinct. Running sums over an order are made in two steps: ranges
-of the order get their sums, and only within a range are rows ordered, so no task holds the whole order. Ranges are cut at values
-drawn by their hash, so they hold about equally many rows however the values lie, and are the same in each evaluation.
+Rows are first counted by distinct score, so what is ordered is distinct. Running sums over an order are made in ranges of it, which
+are written once; see `ordered`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of an order, about.
-RANGES = 512
-
-
-def _range_of(x: Column, cuts: Column) -> Column:
-    """How many of the sorted cuts are below x, by halving."""
-    step = lambda at, size: F.when((at + size <= F.size(cuts)) & (F.get(cuts, at + size - 1) < x), at + size).otherwise(at)
-    halves = F.array(*(F.lit(1 << b) for b in range(RANGES.bit_length(), -1, -1)))
-    return F.coalesce(F.aggregate(halves, F.lit(0), step), F.lit(0))
+from candor.operators.ordered import running
+from candor.sources.files import kept
 
-
-def running(df: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False) -> DataFrame:
-    """df with cum_<value>: sums over the rows of the keys up to and with this one; order is unique within the keys."""
-    size = df.groupBy(*keys).agg(F.count("*").alias("_size"))
-    drawn = F.pmod(F.xxhash64(F.col(order)), F.lit(1 << 30)) < F.lit(float(RANGES << 30)) / F.col("_size")
-    cuts = df.join(size, keys).where(drawn).groupBy(*keys).agg(F.sort_array(F.collect_list(order)).alias("_cuts"))
-    rows = df.join(cuts, keys, "left").withColumn("_r", _range_of(F.col(order), F.col("_cuts"))).drop("_cuts")
-    sign = -1 if descending else 1
-    sums = rows.groupBy(*keys, "_r").agg(*(F.sum(v).alias(v) for v in values))
-    before = Window.partitionBy(*keys).orderBy(F.col("_r") * sign).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_r", *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_b_{v}") for v in values))
-    inside = Window.partitionBy(*keys, "_r").orderBy(F.desc(order) if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(sums, [*keys, "_r"])
-    return out.withColumns({f"cum_{v}": F.sum(v).over(inside) + F.col(f"_b_{v}") for v in values}).drop("_r", *(f"_b_{v}" for v in values))
+#: Rows of a range of the bootstrap, about.
+RANGE_ROWS = 200_000
 
 
 def counts(df: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
-    """Positive and negative weight by distinct score, and in all."""
+    """Positive and negative weight by distinct score."""
     w = F.lit(1) if weight is None else weight
-    by_score = df.groupBy(*keys, "s").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, w).otherwise(0)).alias("neg"))
-    total = by_score.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return by_score.join(total, keys)
+    return df.groupBy(*keys, "s").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, w).otherwise(0)).alias("neg"))
 
 
 def auroc(df: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
     """Chance that a positive scores above a negative, ties a half; null with a single class."""
     c = running(counts(df, keys, weight), keys, "s", ["neg"])
-    won = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
-    return c.groupBy(*keys).agg(F.when((F.first("P") > 0) & (F.first("N") > 0), won / (F.first("P") * F.first("N"))).alias("auroc"))
+    won, pos, neg = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)), F.sum("pos"), F.sum("neg")
+    return c.groupBy(*keys).agg(F.when((pos > 0) & (neg > 0), won / (pos * neg)).alias("auroc"))
 
 
 def curve(df: DataFrame, keys: list[str]) -> DataFrame:
     """A row per distinct score as threshold: tp, fp, P, N, tpr, fpr, precision, recall."""
-    c = running(counts(df, keys), keys, "s", ["pos", "neg"], descending=True)
+    c = running(counts(df, keys), keys, "s", ["pos", "neg"], descending=True).withColumnsRenamed({"all_pos": "P", "all_neg": "N"})
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return c.select(*keys, "s", "pos", "neg", tp.alias("tp"), fp.alias("fp"), "P", "N", F.try_divide(tp, "P").alias("tpr"), F.try_divide(fp, "N").alias("fpr"), F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, "P").alias("recall"))
 
@@ -80,7 +60,9 @@ def best_threshold(df: DataFrame, keys: list[str], objective: str = "f1") -> Dat
     interpolated quantiles of all scores if there are more. 0.5 with nothing to choose. A quantile lies between two scores of the
     curve, which give its counts, so the curve is gone through once."""
     c = curve(df, keys)
-    c = c.join(c.groupBy(*keys).agg(F.count("*").alias("d")), keys)
+    c = kept(c, "curve")
+    size = c.groupBy(*keys).agg(F.count("*").alias("d"))
+    c = c.join(size.withColumnsRenamed({k: f"_{k}" for k in keys}), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)))
     few = c.where("d <= 200").select(*keys, F.col("s").alias("t"), "tp", "fp", "P", "N")
     steps, last = 199, F.col("P") + F.col("N") - 1  # quantile i is at place i * last / steps of the sorted scores
     before = F.col("P") + F.col("N") - F.col("tp") - F.col("fp")
@@ -118,10 +100,15 @@ def summary(df: DataFrame, keys: list[str], threshold: Column | float = 0.5) ->
     return out.select(*keys, *(F.round(c, 4).alias(c) for c in ("auroc", "ap", "accuracy", "precision", "recall", "f1")))
 
 
-def average_ranks(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """df with rank_<column>: ties share their mean rank, from 1."""
-    n = running(df.groupBy(*keys, column).agg(F.count("*").alias("_n")), keys, column, ["_n"])
-    return df.join(n.select(*keys, column, (F.col("cum__n") - (F.col("_n") - 1) / 2).alias(f"rank_{column}")), [*keys, column])
+def average_ranks(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """df with rank_<column> of each column: ties share their mean rank, from 1. All columns are ranked in one go."""
+    base = kept(df, "unranked")
+    values = base.unpivot(keys, columns, "_c", "_x").groupBy(*keys, "_c", "_x").agg(F.count("*").alias("_n"))
+    ranks = running(values, [*keys, "_c"], "_x", ["_n"]).select(*keys, "_c", "_x", (F.col("cum__n") - (F.col("_n") - 1) / 2).alias("_rank"))
+    ranks = kept(ranks, "ranks")
+    for c in columns:
+        base = base.join(ranks.where(F.col("_c") == c).select(*keys, F.col("_x").cast(base.schema[c].dataType).alias(c), F.col("_rank").alias(f"rank_{c}")), [*keys, c])
+    return base
 
 
 def pearson(a: str, b: str) -> Column:
@@ -130,21 +117,21 @@ def pearson(a: str, b: str) -> Column:
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    ranked = average_ranks(average_ranks(df, keys, a), keys, b)
+    ranked = average_ranks(df.select(*keys, a, b), keys, [a, b])
     return ranked.groupBy(*keys).agg(pearson(f"rank_{a}", f"rank_{b}").alias("rho"))
 
 
 def rank_mean(df: DataFrame, columns: list[str], tie: str, out: str) -> DataFrame:
-    """Mean over columns of the ordinal rank over n - 1; ties in the order of `tie`. Ranks need the order of all rows;
-    they are made from running counts in ranges of (value, tie), one column at a time."""
-    n = df.count()
+    """Mean over columns of the ordinal rank over n - 1; ties in the order of `tie`. The columns are ranked in one go, by running
+    counts in ranges of (value, tie)."""
+    base = kept(df.withColumn("_id", F.monotonically_increasing_id()), "unranked")
+    n = base.count()
     if n < 2:
         raise ValueError("rank fusion needs two rows at least")
-    ranked = df.withColumns({"_k": F.lit(0), "_one": F.lit(1)})
-    for c in columns:
-        ranked = running(ranked.withColumn("_o", F.struct(c, tie)), ["_k"], "_o", ["_one"]).withColumn(f"_r_{c}", (F.col("cum__one") - 1) / (n - 1)).drop("cum__one", "_o")
-    mean = sum((F.col(f"_r_{c}") for c in columns), F.lit(0.0)) / len(columns)
-    return ranked.withColumn(out, mean).drop("_k", "_one", *(f"_r_{c}" for c in columns))
+    values = base.select("_id", F.struct(tie, "_id").alias("_t"), *(F.col(c).cast("double").alias(c) for c in columns)).unpivot(["_id", "_t"], columns, "_c", "_x")
+    ranked = running(values.select("_id", "_c", F.struct("_x", "_t").alias("_o"), F.lit(1).alias("_one")), ["_c"], "_o", ["_one"])
+    mean = ranked.groupBy("_id").agg((F.sum((F.col("cum__one") - 1) / (n - 1)) / len(columns)).alias(out))
+    return base.join(mean, "_id").drop("_id")
 
 
 # Cumulated probabilities of Poisson(1).
@@ -154,11 +141,11 @@ POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 
 def bootstrap(df: DataFrame, replicates: int, row_id: str) -> DataFrame:
     """b, auroc of each replicate, rows weighted by Poisson(1) counts from a hash of row and replicate, so that every
-    replicate is the same on every run; replicates with a single class are left out. Each range of scores gives, for all replicates at
+    replicate is the same on every run; replicates with a single class are left out. Each range of scores (equal ones are in one) gives, for all replicates at
     once, the weights of both classes and the pairs won within it; only these sums are put together over the ranges."""
-    once = df.select("s").distinct().withColumn("_k", F.lit(0))
-    ranges = running(once.withColumn("n", F.lit(1)), ["_k"], "s", ["n"]).select("s", F.floor((F.col("cum_n") - 1) / RANGES).alias("r"))
-    rows = df.select("s", "y", F.xxhash64(row_id).alias("h")).join(ranges, "s")
+    rows = kept(df.select("s", "y", F.xxhash64(row_id).alias("h")), "replicated")
+    parts = max(1, rows.count() // RANGE_ROWS + 1)
+    rows = rows.repartitionByRange(parts, "s").withColumn("r", F.spark_partition_id())
 
     def sums(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["s", "h"])

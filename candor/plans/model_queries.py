@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor.functions import arrays as A
-from candor.operators import fitting, head, splits
+from candor.operators import fitting, head, ordered, splits
 from candor.operators import metrics as M
 from candor.operators.splits import stratified
 from candor.plans.base import DETECTORS, LABELLED, labelled, r6, table
@@ -50,6 +50,16 @@ def _(spark, d):
     return M.auroc(scored.select(F.lit("boosted").alias("detector"), "y", F.col("fused").alias("s")), ["detector"])
 
 
+@query("f07_moving_average", f"""WITH {E_}, u AS (SELECT label % 2 AS cls, vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS x FROM e)
+    , c AS (SELECT cls, list_reduce(list(x ORDER BY vec_id), lambda c, x: list_transform(list_zip(c, x), lambda z: 0.99::DOUBLE * z[1] + (1 - 0.99::DOUBLE) * z[2])) AS c FROM u GROUP BY cls)
+    , k AS (SELECT cls, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS k, sqrt(list_sum(list_transform(c, lambda y: y * y))) AS n FROM c)
+    SELECT CAST(cls AS INT) AS cls, CAST(k AS INT) AS k, round(x / n, 9) AS x FROM k""")
+def _(spark, d):
+    """Centroids of both classes as moving averages of unit vectors in the order of vec_id, at unit length."""
+    rows = vectors(spark, d).select((F.col("label") % 2).cast("int").alias("cls"), "vec_id", A.unit(F.col("v")).alias("x"))
+    return ordered.moving_average(rows, ["cls"], "vec_id", "x", 0.99).select("cls", F.posexplode(A.unit(F.col("average"))).alias("k", "x")).select("cls", "k", F.round("x", 9).alias("x"))
+
+
 @query("l06_relabel_delta", f"""WITH {LABELLED}, x AS (SELECT unnest(['old', 'new']) AS labels, sep_entropy AS s, y, toxic FROM labelled), z AS (SELECT labels, s, CASE labels WHEN 'old' THEN y ELSE toxic END AS y FROM x)
     , r AS (SELECT labels, y, rank() OVER (PARTITION BY labels ORDER BY s) + (count(*) OVER (PARTITION BY labels, s) - 1) / 2.0 AS r FROM z)
     SELECT labels, round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auroc FROM r GROUP BY labels""")

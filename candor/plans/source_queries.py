@@ -164,6 +164,15 @@ def _(spark, d):
     return files.zipped(rows.select("vec_id", "label"), rows.select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("first")), "vec_id")
 
 
+@query("s20_s21_line_files", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS n, regexp_replace(coalesce(text, ''), '[\r\n]', ' ', 'g') AS left, coalesce(lang, '') AS right FROM documents")
+def _(spark, d):
+    """Texts and languages as two line files, read again and zipped by line number."""
+    docs, paths = table(spark, d, "documents").select("doc_id", "text", "lang"), [files.scratch(spark, x) for x in ("texts", "languages")]
+    for column, path in zip(("text", "lang"), paths, strict=True):
+        files.write_lines(docs, column, path, "doc_id")
+    return files.zipped_lines(spark, *paths)
+
+
 @query("s22_thresholds", "SELECT * FROM (VALUES ('written', 0.245, 0.409), ('missing', 0.5, 0.74)) t(file, t_med, t_high)")
 def _(spark, d):
     path = files.scratch(spark, "thresholds")

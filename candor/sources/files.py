@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candor.functions.scores import DEFAULT_HIGH, DEFAULT_MEDIUM
@@ -30,6 +30,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read from there: made once however often it is used."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def attached(first: DataFrame, second: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Rows of a first pass with columns that a second pass made for some of them; the others keep what they have."""
     new = second.select(F.col(key), F.lit(True).alias("_new"), *(F.col(c).alias(f"_{c}") for c in columns))
@@ -62,9 +69,28 @@ def write_thresholds(spark: SparkSession, path: str, medium: float, high: float)
     spark.createDataFrame([(medium, high)], "t_med double, t_high double").coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_lines(df: DataFrame, column: str, path: str) -> None:
-    """One row per line; line breaks become spaces."""
-    df.select(one_line(F.col(column)).alias("value")).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, column: str, path: str, order: str | None = None) -> None:
+    """One row per line, in order (if one is given); line breaks become spaces, nulls empty lines."""
+    if order:
+        df = df.orderBy(order)
+    df.select(F.coalesce(one_line(F.col(column)), F.lit("")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_lines(spark: SparkSession, path: str, column: str = "line") -> DataFrame:
+    """n (from 0) and the line, in the order of the files' names and of the lines in them. Splits of files are counted, and numbered side
+    by side from where the splits before them end."""
+    rows = spark.read.text(path).select(F.col("value").alias(column), F.col("_metadata.file_name").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    sizes = rows.groupBy("_f", "_b").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    sizes = sizes.select("_f", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    own = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_i")) - 1
+    return rows.withColumn("_own", own).join(sizes, ["_f", "_b"]).select((F.col("_s") + F.col("_own")).alias("n"), column)
+
+
+def zipped_lines(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """n, left and right of two line files, line by line; refuses files of different lengths."""
+    a, b = read_lines(spark, left, "left"), read_lines(spark, right, "right")
+    return zipped(a, b, "n")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
