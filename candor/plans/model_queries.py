@@ -46,10 +46,40 @@ def _(spark, d):
 
 @query("f02_boosted")
 def _(spark, d):
-    scored = fitting.boosted(labelled(spark, d), DETECTORS, "y", rounds=10)
+    """All 300 rounds."""
+    scored = fitting.boosted(labelled(spark, d), DETECTORS, "y")
     return M.auroc(scored.select(F.lit("boosted").alias("detector"), "y", F.col("fused").alias("s")), ["detector"])
 
 
+@query("f09_honest_evaluation")
+def _(spark, d):
+    """Two heads learnt out of fold on the training rows, a third score as it is, their fusion, and all four on the test rows."""
+    heads = {"surface": ["sep_entropy", "hallushift"], "length": ["tsv_margin", "n"]}
+    _, test = fitting.honest(labelled(spark, d), heads, ["tsv_margin"], "y", "doc_id")
+    rows = test.select("y", *heads, "tsv_margin", "fused").unpivot(["y"], [*heads, "tsv_margin", "fused"], "detector", "s")
+    return M.auroc(rows, ["detector"]).join(M.average_precision(rows, ["detector"]), "detector").select("detector", *r6("auroc", "ap"))
+
+
+@query("a31_anchor_fits")
+def _(spark, d):
+    """A head fitted on each of two feature anchors, both at once, and scored on the same held-out rows."""
+    rows = stratified(labelled(spark, d), "y", "doc_id", 0.25)
+    train = F.col("split") == "train"
+    models = fitting.fusions(rows, [fitting.Fit("end", ["sep_entropy", "tsv_margin"], train, 0.1), fitting.Fit("span", ["hallushift", "tsv_margin"], train, 0.1)], "y")
+    scored = rows.where(~train).select("y", *(m.score().alias(a) for a, m in models.items())).unpivot(["y"], list(models), "anchor", "s")
+    return M.auroc(scored, ["anchor"]).select("anchor", *r6("auroc"))
+
+
+@query("f03_probes")
+def _(spark, d):
+    """A probe on the vectors and its mirror: the second one's scores are the first one's from 1."""
+    rows = stratified(vectors(spark, d).select("vec_id", "v", (F.col("label") % 2).cast("int").alias("y")), "y", "vec_id", 0.25)
+    coef, intercept = fitting.probes(rows.where("split = 'train'"), "v", "y")
+    z = A.dot(F.col("v"), F.array(*map(F.lit, coef))) + intercept
+    scored = rows.where("split = 'test'").select("y", (1 / (1 + F.exp(-z))).alias("false"), (1 / (1 + F.exp(z))).alias("true")).unpivot(["y"], ["false", "true"], "probe", "s")
+    return M.auroc(scored, ["probe"]).select("probe", *r6("auroc"))
+
+
 @query("f07_moving_average", f"""WITH {E_}, u AS (SELECT label % 2 AS cls, vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS x FROM e)
     , c AS (SELECT cls, list_reduce(list(x ORDER BY vec_id), lambda c, x: list_transform(list_zip(c, x), lambda z: 0.99::DOUBLE * z[1] + (1 - 0.99::DOUBLE) * z[2])) AS c FROM u GROUP BY cls)
     , k AS (SELECT cls, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS k, sqrt(list_sum(list_transform(c, lambda y: y * y))) AS n FROM c)
