@@ -33,7 +33,8 @@ def test_columns(spark, name):
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_oracles(spark, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{DATA}/conversations.parquet'")
+    for t in ("conversations", "documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), c.sql(queries.ORACLES[name]).df()
     order = sorted(want.columns)
     pd.testing.assert_frame_equal(got[order].sort_values(order).reset_index(drop=True), want[order].sort_values(order).reset_index(drop=True))
