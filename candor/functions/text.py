@@ -354,9 +354,38 @@ def needs_new_line(line: Column) -> Column:
     return stripped(line).rlike(r"^(#{1,4}\s|[-•▪▸►*]\s|\s*[0-9]{1,3}[.)]\s|[a-zA-Z][.)]\s)")
 
 
-def inline_marks(text: Column) -> Column:
-    """Bold, italic and code spans of a line, in order."""
-    return F.regexp_extract_all(text, F.lit(r"(\*\*[^*]+\*\*|\*[^*]+\*|`[^`]+`)"), F.lit(1))
+INLINE = r"\*\*.+?\*\*|\*.+?\*|`.+?`"
+TOKENS = "array<struct<kind:string,start:int,end:int,text:string>>"
+
+
+def inline_tokens(line: Column) -> Column:
+    """All of a line in order as plain, bold, italic and code tokens: place, and text without marks. Marks close as early as they can,
+    whatever is between."""
+    def token(kind: Column, start: Column, end: Column, said: Column) -> Column:
+        return F.struct(kind.alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), said.alias("text"))
+
+    def marked(x: Column) -> Column:
+        bold, size = F.startswith(x, F.lit("**")) & (F.length(x) > 4), F.length(x)
+        kind = F.when(F.startswith(x, F.lit("`")), "code").when(bold, "bold").otherwise("italic")
+        return F.struct(kind.alias("kind"), F.when(bold, F.substr(x, F.lit(3), size - 4)).otherwise(F.substr(x, F.lit(2), size - 2)).alias("text"), size.alias("size"))
+
+    def placed(x: Column) -> Column:
+        pairs = F.zip_with(x["plain"], x["marks"], lambda p, m: F.struct(p.alias("p"), m.alias("m"), (F.length(p) + F.coalesce(m["size"], F.lit(0))).alias("step")))
+
+        def both(y: Column, end: Column) -> Column:
+            size = F.coalesce(y["m"]["size"], F.lit(0))
+            return F.array(token(F.lit("plain"), end - y["step"], end - size, y["p"]), token(y["m"]["kind"], end - size, end, y["m"]["text"]))
+
+        every = bound(pairs, lambda ys: F.flatten(F.zip_with(ys, running_sum(F.transform(ys, lambda y: y["step"])), both)))
+        return F.filter(every, lambda t: t["end"] > t["start"]).cast(TOKENS)
+
+    marks = F.transform(F.regexp_extract_all(line, F.lit(INLINE), F.lit(0)), marked)
+    return bound(F.struct(F.split(line, INLINE, -1).alias("plain"), marks.alias("marks")), placed)
+
+
+def inline_marks(line: Column) -> Column:
+    """Bold, italic and code spans of a line with their marks, in order."""
+    return F.regexp_extract_all(line, F.lit(f"({INLINE})"), F.lit(1))
 
 
 def short_label(text: Column, n: int = 18) -> Column:

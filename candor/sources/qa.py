@@ -94,12 +94,12 @@ def read_first(spark: SparkSession, *paths: str) -> DataFrame:
     raise RuntimeError(f"none of {paths} can be read") from last
 
 
-def coqa(spark: SparkSession, path: str) -> DataFrame:
-    """id, turn, story, question, answers of every turn, and the talk before it."""
+def coqa(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """id, turn, context (the story and the talk before), question and answers of every turn. lines: a JSON object a line, not a file."""
     from pyspark.sql import Window
 
     schema = "data array<struct<id:string,story:string,questions:array<struct<input_text:string>>,answers:array<struct<input_text:string>>,additional_answers:map<string,array<struct<input_text:string>>>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.inline("data"))
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path).select(F.inline("data"))
     turns = rows.select("id", "story", F.posexplode(F.arrays_zip(F.col("questions.input_text").alias("question"), F.col("answers.input_text").alias("answer"))).alias("turn", "qa"), "additional_answers")
     more = F.transform(F.map_values("additional_answers"), lambda a: F.get(a, F.col("turn"))["input_text"])
     said = F.concat(F.lit(" Q: "), "qa.question", F.lit(" A: "), "qa.answer", F.when(F.endswith(F.col("qa.answer"), F.lit(".")), "").otherwise("."))

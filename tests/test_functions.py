@@ -154,3 +154,28 @@ def test_a_text_of_100000_sentences(spark):
         took[n] = time.time() - began
         assert r["n"] == n and (r["last"]["start"], r["last"]["end"]) == (22 * (n - 1), 22 * n - 1)
     assert took[100_000] < max(20, 4 * took[50_000])
+
+
+def scanned(line):
+    """Tokens of a line by going through it once."""
+    out, at, i = [], 0, 0
+    while i < len(line):
+        for mark, kind in (("**", "bold"), ("*", "italic"), ("`", "code")):
+            end = line.find(mark, i + len(mark) + 1) if line.startswith(mark, i) else -1
+            if end > 0 and "\n" not in line[i:end]:
+                if i > at:
+                    out.append(("plain", at, i, line[at:i]))
+                at = end + len(mark)
+                out.append((kind, i, at, line[i + len(mark) : end]))
+                i = at - 1
+                break
+        i += 1
+    return out + ([("plain", at, len(line), line[at:])] if at < len(line) else [])
+
+
+def test_inline_tokens_equal_a_scanner(spark):
+    rng = random.Random(9)
+    lines = ["**a*b** and", "", "plain", "**bold** *it* `co de`", "** x", "****", "***", "*a**b*", "`a` b `", "é **ñ** 𝄞 *x*", "a" * 50 + " **b** " * 3000]
+    lines += ["".join(rng.choice(["*", "**", "`", "a", " ", "é"]) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    got = spark.createDataFrame(list(enumerate(lines)), "id int, line string").select("id", T.inline_tokens(F.col("line")).alias("t")).collect()
+    assert {r["id"]: [tuple(t) for t in r["t"]] for r in got} == {i: scanned(x) for i, x in enumerate(lines)}
