@@ -42,7 +42,7 @@ from candor.llm.words import bytes_of, find_words, lowered
 LEAST, LONGEST, TOP = 100, 5, 2000
 UNKNOWN = "und"
 #: Text of a batch worked on at once, in bytes; counted rows that a task holds; bits of the bitmap of frequent words or pairs.
-SLICE, HELD, FILTER_BITS = 1 << 20, 1 << 20, 1 << 27
+SLICE, HELD, FILTER_BITS = 1 << 20, 1 << 19, 1 << 27
 #: Projections that one task grows at most.
 SHARD = 200_000
 #: Rows up to which a table of prefixes is broadcast.
