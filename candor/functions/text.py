@@ -365,7 +365,7 @@ def inline_tokens(line: Column) -> Column:
         return F.struct(kind.alias("kind"), start.cast("int").alias("start"), end.cast("int").alias("end"), said.alias("text"))
 
     def marked(x: Column) -> Column:
-        bold, size = F.startswith(x, F.lit("**")) & (F.length(x) > 4), F.length(x)
+        bold, size = F.startswith(x, F.lit("**")) & F.endswith(x, F.lit("**")) & (F.length(x) > 4), F.length(x)
         kind = F.when(F.startswith(x, F.lit("`")), "code").when(bold, "bold").otherwise("italic")
         return F.struct(kind.alias("kind"), F.when(bold, F.substr(x, F.lit(3), size - 4)).otherwise(F.substr(x, F.lit(2), size - 2)).alias("text"), size.alias("size"))
 

@@ -146,7 +146,7 @@ MARKED = """m AS (SELECT conv_id * 1000 + turn AS id, regexp_replace(split_part(
 
 @query("t37_t38_lines", MARKED.join(["WITH ", r""", t AS (SELECT id, line, regexp_extract_all(line, '\*\*[^\n]+?\*\*|\*[^\n]+?\*|`[^\n]+?`') AS marks FROM y)
     SELECT id, CASE WHEN regexp_matches(line, '^#{1,4}\s+.+$') THEN 'heading' WHEN regexp_matches(line, '^\s*[-•▪▸►]\s+') THEN 'bullet' WHEN regexp_matches(line, '^\s*(?:[0-9]{1,3}[.)]\s+|[a-zA-Z][.)]\s+).+$') THEN 'numbered' WHEN regexp_matches(line, '^\s*\*\s+[^*]') THEN 'bullet' ELSE 'text' END AS kind
-    , array_to_string(marks, '|') AS marks, CAST(coalesce(list_sum(list_transform(marks, lambda x: length(x) - CASE WHEN starts_with(x, '**') AND length(x) > 4 THEN 4 ELSE 2 END)), 0) AS BIGINT) AS marked, length(line) AS chars FROM t"""]))
+    , array_to_string(marks, '|') AS marks, CAST(coalesce(list_sum(list_transform(marks, lambda x: length(x) - CASE WHEN starts_with(x, '**') AND ends_with(x, '**') AND length(x) > 4 THEN 4 ELSE 2 END)), 0) AS BIGINT) AS marked, length(line) AS chars FROM t"""]))
 def _(spark, d):
     """Kinds of lines, and their tokens: the tokens with their marks make up the line again."""
     first = F.regexp_replace(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), "[*`]", "")
