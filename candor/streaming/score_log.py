@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,9 +20,44 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def logged(df: DataFrame, path: str) -> bool:
+    """Appends df's rows to the log where that works. Answering must not end because logging fails: a failure is a warning
+    and False."""
+    try:
+        append(df, path)
+    except Exception as e:  # noqa: BLE001 - whatever fails, the caller goes on
+        logging.getLogger(__name__).warning("not logged: %s", e)
+        return False
+    return True
+
+
+def batch_writer(path: str, failed: str, make: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """What a stream calls with each micro-batch: make(batch), the log's rows, goes to the batch's own folder, which a replay of the same batch
+    writes over, so that it adds nothing. A batch that fails goes as it came to its folder in `failed`, and the stream lives; a later replay that works
+    takes it out of there. Only where `failed` can't be written either, the stream ends, as the batch would be lost."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        aside = f"{failed}/batch={n}"
+        try:
+            make(batch).write.mode("overwrite").json(f"{path}/batch={n}")
+        except Exception as e:  # noqa: BLE001 - as logged
+            logging.getLogger(__name__).warning("batch %d not logged: %s", n, e)
+            batch.write.mode("overwrite").json(aside)
+            return
+        at = batch.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(aside)
+        at.getFileSystem(batch.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    return write
+
+
+def write_log(rows: DataFrame, path: str, failed: str, checkpoint: str, make: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> StreamingQuery:
+    """Logs a stream of what is there now and ends; started again with the same checkpoint, it goes on where it ended."""
+    return rows.writeStream.foreachBatch(batch_writer(path, failed, make)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Blank lines make no rows; ts becomes a timestamp."""
-    return spark.read.schema(SCHEMA).json(path).withColumn("at", F.to_timestamp("ts", "yyyy-MM-dd HH:mm:ss"))
+    """Blank lines make no rows; ts becomes a timestamp. Folders of batches are read as one log."""
+    return spark.read.schema(SCHEMA).json(path).drop("batch").withColumn("at", F.to_timestamp("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
