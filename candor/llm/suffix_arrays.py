@@ -3,7 +3,7 @@
 `repeats` deals the corpus into shards of contexts that share a long string. A shard's contexts, end to end, are suffix
 sorted with the difference cover {1, 2} modulo 3: the triples at sampled places are sorted and named, the names' string is sorted
 by recursion unless all differ, the remaining suffixes are sorted by first symbol and rank of the rest, and both
-orders are merged. Neighbours in the suffix order whose prefixes of the wanted length are equal are repeats.
+orders are merged. Neighbours in the suffix order whose prefixes of the wanted length are equal, compared byte by byte, are repeats.
 
 Sorting all suffixes of the corpus in one order would move some 20 bytes per byte in each round; the shards hold only
 what anchors leave undecided.
@@ -92,6 +92,22 @@ def sharing(bounds: np.ndarray, need: np.ndarray, left: np.ndarray, symbols: lis
     return out
 
 
+def neighbours_share(s: np.ndarray, order: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether each suffix in order and the next begin with the same `need` symbols, compared symbol by symbol: a step of
+    the loop compares one symbol of all pairs that are equal so far."""
+    a, b, n = order[:-1], order[1:], need[:-1]
+    open_ = np.flatnonzero(n == need[1:])
+    out = np.zeros(len(a), bool)
+    k = 0
+    while len(open_):
+        done = n[open_] == k
+        out[open_[done]] = True
+        open_ = open_[~done]
+        open_ = open_[s[a[open_] + k] == s[b[open_] + k]]
+        k += 1
+    return out
+
+
 def resolve(bounds: np.ndarray, need: np.ndarray, left: np.ndarray, symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Rows and offsets (bytes from the context's begin) of passages that another place of the shard has. need: symbols of a
     passage, the anchor being one."""
@@ -111,8 +127,7 @@ def resolve(bounds: np.ndarray, need: np.ndarray, left: np.ndarray, symbols: lis
     row = np.repeat(np.arange(len(sizes)), sizes)
     order = suffix_array(s)
     order = order[order + need[row[order]] < begin[row[order] + 1]]
-    prefix = Units(mixed(s.astype(np.uint64)), np.array([0, len(s)])).hashed(order, order + need[row[order]])
-    equal = prefix[1:] == prefix[:-1]
+    equal = neighbours_share(s, order, need[row[order]])
     found = order[np.r_[equal, False] | np.r_[False, equal]]
     return rows[row[found]], found - begin[row[found]]
 

@@ -263,6 +263,17 @@ def test_repeats_of_very_long_words_and_periods(spark):
     assert [r["n_removed"] for r in suffix_arrays.digests(d).orderBy("doc_id").collect()] == gone
 
 
+def test_neighbours_are_compared_symbol_by_symbol():
+    rng = np.random.default_rng(3)
+    for top, n in ((2, 60), (3, 200), (300, 200)):
+        s = np.concatenate([rng.integers(1, top + 1, n), np.zeros(12, np.int64)])
+        order = np.array(sorted(range(n), key=lambda i: s[i:].tolist()))
+        need = rng.integers(0, 9, n)
+        want = [need[i] == need[i + 1] and s[order[i] :][: need[i]].tolist() == s[order[i + 1] :][: need[i]].tolist() for i in range(n - 1)]
+        assert suffix_arrays.neighbours_share(s, order, need).tolist() == want
+    assert suffix_arrays.neighbours_share(s, order[:1], need[:1]).tolist() == [] and suffix_arrays.neighbours_share(s, order[:0], need[:0]).tolist() == []
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(0)
     for _ in range(400):
