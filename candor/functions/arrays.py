@@ -92,7 +92,8 @@ def count_above(p: Column, limit: float = 0.9) -> Column:
 
 def steps(p: Column) -> Column:
     """Absolute differences of neighbours."""
-    return F.when(F.size(p) > 1, F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.abs(b - a))).otherwise(F.array().cast("array<double>"))
+    pairs = F.greatest(F.size(p) - 1, F.lit(0))
+    return F.when(F.size(p) > 1, F.zip_with(F.slice(p, 1, pairs), F.slice(p, 2, pairs), lambda a, b: F.abs(b - a))).otherwise(F.array().cast("array<double>"))
 
 
 def mean_gradient(p: Column) -> Column:
@@ -126,8 +127,10 @@ def statistics(p_max: Column, p_min: Column) -> Column:
 
 
 def pair_distances(vectors: Column) -> Column:
-    """Of distributions one after another: the distances of neighbours, then their cosines."""
-    left, right = lambda v: F.slice(v, 1, F.size(v) - 1), lambda v: F.slice(v, 2, F.size(v) - 1)
+    """Of distributions one after another: the distances of neighbours, then their cosines. Fewer than two have none: Spark can
+    evaluate this before a filter that drops such rows, so it must not raise."""
+    pairs = lambda v: F.greatest(F.size(v) - 1, F.lit(0))
+    left, right = lambda v: F.slice(v, 1, pairs(v)), lambda v: F.slice(v, 2, pairs(v))
     return bound(vectors, lambda v: F.concat(F.zip_with(left(v), right(v), wasserstein), F.zip_with(left(v), right(v), cosine)))
 
 

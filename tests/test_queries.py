@@ -46,5 +46,15 @@ def test_contained_items_of_few_words(spark, tmp_path):
     assert rows(catalog.QUERIES["j09_contained_items"](spark, str(tmp_path)).toPandas()) == rows(c.sql(catalog.ORACLES["j09_contained_items"]).df())
 
 
+@pytest.mark.parametrize("n", [33, 34, 35, 63, 66])
+def test_feature_vectors_where_the_last_step_is_cut(spark, tmp_path, n):
+    """The last step has one, two, three or all but one of its layers; only whole generations count."""
+    pd.read_parquet("/root/testdata/sf0.01/embeddings.parquet").query("vec_id < @n").to_parquet(tmp_path / "embeddings.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = rows(catalog.QUERIES["m04_m11_a08_feature_vector"](spark, str(tmp_path)).toPandas())
+    assert len(got) == 35 * (n // 32) and got == rows(c.sql(catalog.ORACLES["m04_m11_a08_feature_vector"]).df())
+
+
 def test_flagship_is_registered():
     assert catalog.FLAGSHIP in catalog.QUERIES and not set(catalog.ORACLES) - set(catalog.QUERIES)
