@@ -2,9 +2,10 @@
 
 Features are binned by quantiles, and rows of equal bins and label become one with a weight. For each level of a tree, tasks sum
 gradients, hessians and weights by node, feature and bin; the driver gets these sums (nodes * features * bins, whatever the
-number of rows) and finds the splits. A tree's values are added to the rows in one more pass, whose table the next tree reads, so a
-lost executor costs a re-read. Up to ROWS_AT_ONCE weighted rows, a job for each level would take far longer than its work, and
-one task makes all rounds, with the same functions.
+number of rows) and finds the splits. Rows are held by the executors in blocks, arrays of a partition's rows, so that a level is one
+small job. The first job of a tree adds the values of the tree before; every KEEP trees the blocks are written to the shared folder, so
+a lost executor costs a re-read and KEEP trees at most. Up to ROWS_AT_ONCE weighted rows, a job for each level would take longer than its
+work, and one task makes all rounds, with the same functions.
 
 Trees grow level by level: of a level's nodes those with the largest gains are split first, up to `leaves` leaves. Rows with a null
 or NaN feature go with the largest values. Labels are 0 and 1; both must be there.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candor.sources.files import kept
+from candor.sources.files import kept, scratch
 
 # The parameters of the booster.
 ROUNDS, RATE, L2, LEAVES, LEAST, BINS, LEAST_HESSIAN = 300, 0.05, 1.0, 31, 20, 255, 1e-3
@@ -28,6 +29,12 @@ ROUNDS, RATE, L2, LEAVES, LEAST, BINS, LEAST_HESSIAN = 300, 0.05, 1.0, 31, 20, 2
 
 #: Weighted rows up to which one task makes all rounds.
 ROWS_AT_ONCE = 200_000
+#: Weighted rows of a block at most, about; there are as many blocks as cores at least.
+BLOCK_ROWS = 500_000
+#: Trees after which the blocks are written.
+KEEP = 16
+#: Blocks whose sums are added by the driver; those of more are added on the executors first.
+DRIVER_ADDS = 32
 
 
 @dataclass
@@ -110,14 +117,16 @@ def histogram_of(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, raw: np.nd
 
 
 def tree(histogram: Callable[[list[list], list[int]], np.ndarray], count: int, width: int, rate: float, l2: float, leaves: int, least: int) -> list[list]:
-    """Nodes (feature, bin, left, right, value) of one tree; histogram: sums over all rows for the nodes so far."""
+    """Nodes (feature, bin, left, right, value) of one tree; histogram: sums over all rows for the nodes so far. Nodes of the last level,
+    and those too small to be split, get their values from their parent's sums."""
     nodes: list[list] = [[-1, 0, 0, 0, 0.0]]
     active, ends = [0], 1
-    while active:
+    value = lambda x: float(-rate * x[0] / (x[1] + l2))
+    while active and ends < max(leaves, 2):
         found = histogram(nodes, active).reshape(len(active), count, width, 3)
         sums = found[:, 0].sum(axis=1)
         for i, node in enumerate(active):
-            nodes[node][4] = float(-rate * sums[i, 0] / (sums[i, 1] + l2))
+            nodes[node][4] = value(sums[i])
         gains, feature, bin_ = splits_of(found, l2, least)
         following: list[int] = []
         for i in sorted(range(len(active)), key=lambda i: (-gains[i], i)):
@@ -125,8 +134,10 @@ def tree(histogram: Callable[[list[list], list[int]], np.ndarray], count: int, w
                 break
             low = len(nodes)
             nodes[active[i]][:4] = [int(feature[i]), int(bin_[i]), low, low + 1]
-            nodes += [[-1, 0, 0, 0, 0.0], [-1, 0, 0, 0, 0.0]]
-            following += [low, low + 1]
+            left = found[i, feature[i], : bin_[i] + 1].sum(axis=0)
+            sides = (left, sums[i] - left)
+            nodes += [[-1, 0, 0, 0, value(x)] for x in sides]
+            following += [low + k for k, x in enumerate(sides) if x[2] >= 2 * least]
             ends += 1
         active = following
     return nodes
@@ -150,6 +161,45 @@ def _arrays(batch: pa.RecordBatch | pa.Table, count: int) -> tuple[np.ndarray, .
     return np.stack([batch.column(f"b{i}").to_numpy() for i in range(count)]).astype(np.int64), *(batch.column(c).to_numpy() for c in ("y", "weight", "raw"))
 
 
+def _by_levels(rows: DataFrame, total: int, shape: tuple, rounds: int) -> Iterator[list[list]]:
+    """The trees of all rounds, a job a level."""
+    count, width, context = shape[0], shape[1], rows.sparkSession.sparkContext
+    parts = max(context.defaultParallelism, -(-total // BLOCK_ROWS))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            own, *rest = _arrays(pa.Table.from_batches(held).combine_chunks(), count)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (own.astype(np.int32), *rest)], ["own", "y", "weight", "raw"])
+
+    def block(row) -> tuple[np.ndarray, ...]:
+        return np.frombuffer(row["own"], np.int32).reshape(count, -1), *(np.frombuffer(row[c], np.float64) for c in ("y", "weight", "raw"))
+
+    def grown(nodes: list[list]):
+        values = np.array([x[4] for x in nodes])
+        return lambda b: (*b[:3], b[3] + values[leaf_of(nodes, b[0])])
+
+    def summed(so_far: list[list], active: list[int]) -> np.ndarray:
+        return blocks.map(lambda b: histogram_of(*b, so_far, active, width)).treeReduce(np.add, depth=1 if parts <= DRIVER_ADDS else 2)
+
+    blocks = rows.repartition(parts).mapInArrow(packed, "own binary, y binary, weight binary, raw binary").rdd.map(block).persist()
+    before = None
+    for i in range(rounds):
+        nodes = tree(summed, *shape)
+        yield nodes
+        if before:
+            before.unpersist()
+        before, blocks = blocks, blocks.map(grown(nodes)).persist()
+        if i % KEEP == KEEP - 1:
+            path = scratch(rows.sparkSession, "boosted")
+            blocks.saveAsPickleFile(path)
+            blocks.unpersist()
+            blocks = context.pickleFile(path, parts).persist()
+    for held in (before, blocks):
+        if held:
+            held.unpersist()
+
+
 def fit(df: DataFrame, features: list[str], label: str, rounds: int = ROUNDS, rate: float = RATE, l2: float = L2, leaves: int = LEAVES, least: int = LEAST, bins: int = BINS, at_once: int = ROWS_AT_ONCE) -> Booster:
     """What reaches the driver is sums by bin and the model: at most 2 * leaves - 1 nodes a round."""
     edges, count = edges_of(df, features, bins), len(features)
@@ -160,6 +210,8 @@ def fit(df: DataFrame, features: list[str], label: str, rounds: int = ROUNDS, ra
     rows = _binned(df, edges, features, label, start)
     shape = (count, width, rate, l2, leaves, least)
 
+    total = rows.count()
+
     def all_rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -170,39 +222,11 @@ def fit(df: DataFrame, features: list[str], label: str, rounds: int = ROUNDS, ra
             raw = raw + np.array([x[4] for x in nodes])[leaf_of(nodes, own)]
             yield pa.RecordBatch.from_arrays([pa.array([i] * len(nodes)), pa.array(range(len(nodes))), *(pa.array(list(c)) for c in zip(*nodes, strict=True))], ["tree", "node", "feature", "bin", "left", "right", "value"])
 
-    def summed(so_far: list[list], active: list[int]) -> np.ndarray:
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(active) * count * width * 3)
-            for b in batches:
-                total += histogram_of(*_arrays(b, count), so_far, active, width)
-            cells = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "v"])
-
-        got = rows.mapInArrow(go, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toPandas()
-        out = np.zeros(len(active) * count * width * 3)
-        out[got["cell"].to_numpy(np.int64)] = got["v"].to_numpy()
-        return out
-
-    def grown(nodes: list[list]) -> DataFrame:
-        values = np.array([x[4] for x in nodes])
-
-        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                own, _, _, raw = _arrays(b, count)
-                yield b.set_column(b.num_columns - 1, "raw", pa.array(raw + values[leaf_of(nodes, own)]))
-
-        return kept(rows.mapInArrow(go, rows.schema), "boosted")
-
-    if rows.count() <= at_once:
+    if total <= at_once:
         got = rows.orderBy(*rows.columns).coalesce(1).mapInArrow(all_rounds, "tree long, node long, feature long, bin long, left long, right long, value double").toPandas()
         trees = got.sort_values(["tree", "node"]).to_numpy()
     else:
-        parts = []
-        for i in range(rounds):
-            nodes = tree(summed, *shape)
-            rows = grown(nodes)
-            parts += [(i, k, *x) for k, x in enumerate(nodes)]
-        trees = np.array(parts, float)
+        trees = np.array([(i, k, *x) for i, nodes in enumerate(_by_levels(rows, total, shape, rounds)) for k, x in enumerate(nodes)], float)
     of, whole = trees[:, 0].astype(int), trees[:, :6].astype(int)
     first = np.searchsorted(of, np.arange(rounds))
     return Booster(features, edges, start, first, whole[:, 2], whole[:, 3], whole[:, 4] + first[of], whole[:, 5] + first[of], trees[:, 6].astype(float))

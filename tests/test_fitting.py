@@ -62,6 +62,19 @@ def test_booster_equals_the_plain_one(data, at_once):
     assert np.allclose([got[i] for i in range(len(y))], 1 / (1 + np.exp(-want)), atol=1e-9)
 
 
+def test_booster_by_levels_takes_a_small_job_a_level(spark, data):
+    """More rounds than the blocks are kept for; the trees are those of one task."""
+    _, _, df = data
+    context = spark.sparkContext
+    context.setJobGroup("levels", "levels")
+    got = boosting.fit(df, ["a", "b", "c"], "y", rounds=20, at_once=0)
+    jobs = len(context.statusTracker().getJobIdsForGroup("levels"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    want = boosting.fit(df, ["a", "b", "c"], "y", rounds=20)
+    assert got.roots.tolist() == want.roots.tolist() and got.feature.tolist() == want.feature.tolist() and np.allclose(got.value, want.value, atol=1e-9)
+    assert jobs <= 20 * 7
+
+
 def test_booster_learns_in_300_rounds(data):
     _, y, df = data
     scored = fitting.boosted(df.where("id % 3 > 0"), ["a", "b", "c"], "y").count()
