@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candor.functions.arrays import bound
 from candor.sources.files import kept
 
+#: Tokens of one block.
+BLOCK = 1024
+
 
 def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -114,15 +118,38 @@ def moving_average(df: DataFrame, keys: list[str], order: str, vector: str, deca
 
 def token_ranges(tokens: DataFrame, spans: DataFrame, key: str, prompt_len: int) -> DataFrame:
     """Spans (key, id, start, end in characters of the decoded answer) with a and b: the tokens [a, b) that cover them. tokens: key, k
-    (from 0) and size, what the answer grows by with the token. Of a span that ends beyond the answer, what is inside counts;
-    without tokens it is (prompt_len, prompt_len)."""
-    grown = running(tokens.select(key, "k", "size"), [key], "k", ["size"]).select(key, F.col("cum_size").cast("long").alias("at"), "k", F.col("all_size").cast("long").alias("size"))
-    sizes = grown.groupBy(key).agg(F.max("size").alias("size"), F.max("k").alias("last"))
+    (from 0, without gaps) and size, what the answer grows by with the token. Of a span that ends beyond the answer, what is inside
+    counts; without tokens it is (prompt_len, prompt_len)."""
+    whole = (F.col("k") - F.col("k") % BLOCK).alias("k")
+    parts = tokens.groupBy(key, whole).agg(F.transform(F.array_sort(F.collect_list(F.struct(tokens["k"].alias("t"), "size"))), lambda x: x["size"]).alias("sizes"))
+    return token_ranges_of_blocks(parts, spans, key, prompt_len)
+
+
+def token_blocks(sizes: Column) -> Column:
+    """Rows (k, sizes) of the sizes of an answer's tokens, for `F.inline`: up to BLOCK tokens from number k on."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.struct(i.alias("k"), F.slice(x, i + 1, BLOCK).alias("sizes")))
+    return bound(sizes, cut)
+
+
+def token_ranges_of_blocks(blocks: DataFrame, spans: DataFrame, key: str, prompt_len: int) -> DataFrame:
+    """`token_ranges` of tokens in blocks: key, k (the first token's number) and sizes, an array. The order has a row per block; a place
+    finds its block there, and its token in the block."""
+    blocks = blocks.where(F.size("sizes") > 0)
+    each = blocks.select(key, F.col("k").cast("long").alias("k"), "sizes")
+    sums = each.select(key, "k", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"), (F.col("k") + F.size("sizes") - 1).alias("last"))
+    grown = running(sums, [key], "k", ["size"])
+    sizes = grown.groupBy(key).agg(F.max("all_size").alias("size"), F.max("last").alias("last"))
     first = F.greatest(F.lit(0), F.least(F.col("start"), F.col("size") - 1))
     end = F.greatest(first + 1, F.least(F.col("end"), F.col("size"))) - 1
     sized = spans.join(sizes, key, "left")
     asked = sized.where("last is not null").select(key, "id", "start", "end", "last", F.inline(F.array(F.struct(F.lit(0).alias("which"), first.cast("long").alias("at")), F.struct(F.lit(1).alias("which"), end.cast("long").alias("at")))))
-    found = as_of(asked, grown.select(key, "at", "k"), [key], "at", "k", strict=True).withColumn("k", F.coalesce("k", "last") + prompt_len)
+    found = as_of(asked, grown.select(key, F.col("cum_size").alias("at"), "k"), [key], "at", "k", strict=True)
+    inside = each.join(grown.select(key, "k", (F.col("cum_size") - F.col("size")).alias("before")), [key, "k"])
+    # tokens are counted until their sizes pass the place
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.col("before").alias("sum"))
+    step = lambda acc, x: F.when(acc["sum"] > F.col("at"), acc).otherwise(F.struct((acc["n"] + 1).alias("n"), (acc["sum"] + x).alias("sum")))
+    token = F.col("k") + F.aggregate("sizes", start, step, lambda acc: acc["n"]) - 1
+    found = found.join(inside, [key, "k"], "left").withColumn("k", F.coalesce(token, "last") + prompt_len)
     found = found.groupBy(key, "id", "start", "end").agg(F.max(F.when(F.col("which") == 0, F.col("k"))).alias("a"), F.max(F.when(F.col("which") == 1, F.col("k") + 1)).alias("b"))
     none = sized.where("last is null").select(key, "id", "start", "end", F.lit(prompt_len).alias("a"), F.lit(prompt_len).alias("b"))
     return found.unionByName(none)

@@ -3,10 +3,13 @@
 import bisect
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from candor import catalog
 from candor.functions import text as T
 from candor.operators import ordered
 from candor.sources import files
@@ -95,3 +98,22 @@ def test_line_files(spark, tmp_path):
             files.zipped_lines(spark, str(tmp_path / "a"), str(tmp_path / "c.txt"))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_token_ranges_of_texts_order_a_row_per_block(spark, tmp_path, monkeypatch):
+    """Texts over several blocks and runs of spaces, against the SQL; what goes through the orders are rows of blocks."""
+    texts = ["a bb  ccc " * 1500, " ", "x" * 50, "w " * 1023 + "last", "w " * 1024, " " * 2050, None, "one two"]
+    pd.DataFrame({"doc_id": [i * 101 + 7 for i in range(len(texts))], "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    c, written, kept = duckdb.connect(), [], ordered.kept
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+
+    def counted(df, name):
+        out = kept(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ordered, "kept", counted)
+    got = catalog.QUERIES["t33_j11_w06_token_ranges"](spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    want = c.sql(catalog.ORACLES["t33_j11_w06_token_ranges"] + " ORDER BY doc_id").df()
+    assert got[["doc_id", "a", "b"]].to_numpy().tolist() == want[["doc_id", "a", "b"]].to_numpy().tolist()
+    assert 0 < sum(written) <= 6 * len(texts)
