@@ -10,10 +10,13 @@
    the links found so far don't connect.
 5. A bucket whose classes are still in different components can hold more links. Shingles that no other class of these buckets
    has bound what a class can share, exactly: with u of n such shingles, n - u at most. Classes for which this is too little for
-   the threshold are linked with nothing and go. The others get longer signatures; those outside of the bucket's main component are
-   queries against the whole bucket, in blocks of CHUNK rows: the most similar plausible class of another component for
-   each query and block is verified first, and at last every plausible pair that is still apart and within the bound. So no
-   link is lost, and a group that hangs together, or whose members differ by words of their own, costs its size, not the square of it.
+   the threshold are linked with nothing and go. The others get longer signatures and their rarest shingles, in one order for all; those
+   outside of the bucket's main component are queries against the whole bucket, in blocks of CHUNK rows. Up to the place in that order to which
+   both lists reach, what two classes share is counted, and beyond it they share no more than the smaller rest: an exact bound (prefix
+   filter) that few pairs under the threshold pass, as what sets near copies apart is rare and comes first. The most
+   similar plausible class of another component for each query and block is verified first, and at last every plausible pair that
+   is still apart and within the bound. So no link is lost, and a group that hangs together, or whose members differ by words
+   that few others have, has pairs in proportion to its size, not the square of it; the blocks still compare each query with the whole bucket.
 6. Components of the true links give each document the smallest doc_id reachable.
 
 A linked pair shares no band with probability (1 - threshold^ROWS)^BANDS, 8e-7 at 0.85 and 7e-5 at 0.80; MISS comes on top.
@@ -50,6 +53,8 @@ MISS = 1e-6
 REPS = (0, -1, 0x2545F4914F6CDD1D, -0x61C8864680B583EB)
 #: Classes of a bucket compared in one block, and the same on the side of the queries.
 CHUNK = 1024
+#: Rare shingles held by a block, and the same on the side of the queries.
+ELEMENTS = 1 << 20
 #: Largest number of group members that is broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -154,29 +159,42 @@ def _surviving(bound: float):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, m = plausible(_signatures(batch.column("x")), _signatures(batch.column("y")), bound)
-            yield _pairs(batch.column("a").to_numpy()[left], batch.column("b").to_numpy()[left], m)
+            kept = batch.select(["a", "b", "small"]).take(pa.array(left))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(m, pa.int64())], ["a", "b", "small", "m"])
 
     return go
 
 
 def _crossing(percent: int, best: bool):
-    """From rows (bucket, block, slice, q, id, label, n, u, sig), each block's together: plausible pairs of a query with a class of
+    """From rows (bucket, block, slice, q, id, label, n, u, rare, sig), each block's together: plausible pairs of a query with a class of
     another component, each in the first bucket alone that both are in; best: the most similar one of each query alone."""
     bound = percent / 100
 
     def compared(rows: pa.Table) -> pa.RecordBatch:
         is_q = rows.column("q").to_numpy()
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if is_q.all():
+            return _pairs(*map(np.concatenate, out))
         ids, labels = rows.column("id").to_numpy(), rows.column("label").to_numpy()
         sigs = _signatures(rows.column("sig"), LONG_SIGNATURE)
-        size = rows.column("n").to_numpy()
-        most = size - rows.column("u").to_numpy()
-        all_ids, all_labels, all_sigs, all_size, all_most = ids[~is_q], labels[~is_q], sigs[~is_q], size[~is_q], most[~is_q]
+        size, alone = rows.column("n").to_numpy(), rows.column("u").to_numpy()
+        lengths = pc.list_value_length(rows.column("rare")).to_numpy()
+        order, places = np.unique(pc.list_flatten(rows.column("rare")).to_numpy(), return_inverse=True)
+        rare = np.split(places, np.cumsum(lengths)[:-1])
+        all_ids, all_labels, all_sigs, all_size, all_alone = ids[~is_q], labels[~is_q], sigs[~is_q], size[~is_q], alone[~is_q]
+        met, ends = places[np.repeat(~is_q, lengths)], np.cumsum(lengths[~is_q])
+        begins, last = ends - lengths[~is_q], met[ends - 1]
+        has = np.zeros(len(order), bool)
         keys, bucket = band_keys(all_sigs), rows.column("bucket")[0].as_py()
         asked = band_keys(sigs[is_q])
         band = (asked == bucket).argmax(axis=1)  # of this bucket
-        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i, label, n, shared, sig, own, b in zip(ids[is_q], labels[is_q], size[is_q], most[is_q], sigs[is_q], asked, band, strict=True):
-            both = np.minimum(all_most, shared)
+        for i, label, n, u, at, sig, own, b in zip(ids[is_q], labels[is_q], size[is_q], alone[is_q], np.flatnonzero(is_q), sigs[is_q], asked, band, strict=True):
+            has[rare[at]] = True
+            both = np.add.reduceat(has[met], begins, dtype=np.int64)
+            has[rare[at]] = False
+            # the rests beyond the place that both lists reach
+            rest = n - u - np.searchsorted(rare[at], last, "right")
+            both += np.minimum(rest, all_size - all_alone - np.add.reduceat(met <= rare[at][-1], begins, dtype=np.int64))
             others = np.flatnonzero((all_labels != label) & (100 * both >= percent * (n + all_size - both)))
             others = others[~(keys[others, :b] == own[:b]).any(axis=1)]  # the others are met in an earlier band's bucket
             left, m = plausible(all_sigs[others], np.broadcast_to(sig, (len(others), LONG_SIGNATURE)), bound)
@@ -248,11 +266,14 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("c"), *(F.min(F.col("id").bitwiseXOR(F.lit(r).cast("long"))).alias(f"r{i}") for i, r in enumerate(REPS))).where("c > 1")
     reps = F.array_distinct(F.array(*(F.col(f"r{i}").bitwiseXOR(F.lit(r).cast("long")) for i, r in enumerate(REPS))))
     members = staged(rows.join(buckets.select("bucket", "c", reps.alias("reps")), "bucket"), "members")
-    pairs = members.select(F.col("id").alias("a"), F.explode("reps").alias("b"), "reps").where("a > b or (a < b and not array_contains(reps, a))").select("a", "b").distinct()
+    # in a small bucket the representatives meet all; of a larger one the first is the smallest id
+    met = members.withColumn("small", F.expr("c <= size(reps) + 1"))
+    met = met.select(F.col("id").alias("a"), F.explode(F.when(F.col("small"), F.col("reps")).otherwise(F.slice("reps", 1, 1))).alias("b"), "reps", "small")
+    pairs = met.where("a > b or (a < b and not array_contains(reps, a))").groupBy("a", "b").agg(F.max("small").alias("small"))
     banded = members.select("id").distinct()
     sigs = staged(classes.select("id", "sig").join(_checked(banded), "id"), "signatures")
     signed = lambda p: p.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-    pairs = staged(signed(pairs).select("a", "b", "x", "y").mapInArrow(_surviving(bound), "a long, b long, m long"), "survivors")
+    pairs = staged(signed(pairs).select("a", "b", "small", "x", "y").mapInArrow(_surviving(bound), "a long, b long, small boolean, m long"), "survivors")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -277,23 +298,25 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         sets = sets_of(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
         first = pairs.groupBy("a").agg(F.max(F.struct("m", (-F.col("b")).alias("b"))).alias("t")).select("a", (-F.col("t.b")).alias("b"))
         add(verified(first, sets))
-        rest = staged(_apart(pairs, labels).join(first, ["a", "b"], "left_anti"), "rest")
+        rest = staged(_apart(pairs.where("small"), labels).join(first, ["a", "b"], "left_anti"), "rest")
         if not empty(rest):
             add(verified(rest, sets))
     # buckets in which representatives haven't met all
     large = members.where("c > size(reps) + 1").select("bucket", "id")
     mixed_ = _labelled(large, labels, "id", "label").groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     large = staged(large.join(_checked(staged(mixed_, "mixed")), "bucket"), "large")
-    if not empty(large):
+    rounds = () if empty(large) else (True, False)
+    if rounds:
         sets = sets_of(large)
-        large = staged(large.join(_own(sets).where(f"100 * (n - u) >= {percent} * n"), "id"), "linkable")
-        longer = staged(sets.join(_checked(large.select("id").distinct()), "id").mapInArrow(_longer, "id long, sig binary"), "longer")
-    for best in (True, False):
+        rarest = staged(_rarest(sets, percent), "rarest")
+        large = staged(large.join(rarest.select("id", "n", "u", F.size("rare").alias("r")), "id"), "linkable")
+        longer = staged(sets.join(rarest.select("id", "rare"), "id").mapInArrow(_longer, "id long, sig binary, rare array<long>"), "longer")
+    for best in rounds:
         by_label = _labelled(large, labels, "id", "label")
-        counts = by_label.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-        opened = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("total"), F.count("*").alias("labels")).where("labels > 1")
-        blocks = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
-        opened = opened.select("bucket", F.col("main.label").alias("main"), blocks(F.col("total")).alias("blocks"), blocks(F.col("total") - F.col("main.c")).alias("slices"))
+        counts = by_label.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("r").alias("r"))
+        opened = counts.groupBy("bucket").agg(F.max(F.struct("c", "label", "r")).alias("main"), F.sum("c").alias("c"), F.sum("r").alias("r"), F.count("*").alias("labels")).where("labels > 1")
+        blocks = lambda c, r: F.ceil(F.greatest(c / F.lit(CHUNK), r / F.lit(ELEMENTS))).cast("int")
+        opened = opened.select("bucket", F.col("main.label").alias("main"), blocks(F.col("c"), F.col("r")).alias("blocks"), blocks(F.col("c") - F.col("main.c"), F.col("r") - F.col("main.r")).alias("slices"))
         found = staged(by_label.join(_checked(staged(opened, "opened")), "bucket"), "open")
         if empty(found):
             break
@@ -319,11 +342,12 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
 def _longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sigs = [signature(np.frombuffer(h.as_buffer(), np.uint64), LONG_SIGNATURE).tobytes() for h in batch.column("hashes")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary())], ["id", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary()), batch.column("rare")], ["id", "sig", "rare"])
 
 
-def _own(sets: DataFrame) -> DataFrame:
-    """id, n (size of the set) and u (elements that no other set has)."""
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """id, n (size of the set), u (elements that no other set has) and rare: its rarest elements that others have, rarest first. With
+    the u they are one more than a set may lack of a linked one. Sets with too few elements that others have are left out."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,9 +355,15 @@ def _own(sets: DataFrame) -> DataFrame:
             hashes = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), sizes)), pa.array(hashes)], ["id", "h"])
 
-    alone = sets.mapInArrow(go, "id long, h long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    sized = sets.select("id", F.expr("octet_length(hashes) div 8").alias("n"))
-    return sized.join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    elements = sets.mapInArrow(go, "id long, h long")
+    # the order is by steps of frequency, then by hash
+    step = F.floor(2 * F.log2("c")).cast("long")
+    shared = elements.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    shared = staged(shared.select("h", F.shiftleft(step, 57).bitwiseOR(F.col("h").bitwiseAND(F.lit((1 << 57) - 1))).alias("key")), "shared")
+    keys = elements.join(shared, "h").groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    sized = sets.select("id", F.expr("octet_length(hashes) div 8").alias("n")).join(keys, "id").withColumn("u", F.col("n") - F.size("keys"))
+    least = F.expr(f"({percent} * n + 99) div 100")
+    return sized.where(f"100 * (n - u) >= {percent} * n").select("id", "n", "u", F.slice("keys", F.lit(1), (F.size("keys") - least + 1).cast("int")).alias("rare"))
 
 
 def _checked(df: DataFrame) -> DataFrame:

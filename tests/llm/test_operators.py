@@ -477,6 +477,33 @@ def test_a_large_group_of_near_copies(spark):
     assert len(set(label)) > 100 and [got[i] for i in range(3000)] == label.tolist()
 
 
+def test_pairs_of_near_copies_just_apart(spark, monkeypatch):
+    """Texts just under the threshold that share their changes with a few others: pairs do not grow with the square of the group."""
+    rng = random.Random(4)
+    base = [w + str(i % 7) for i, w in enumerate(prose(rng, 150).split())]
+    other = [[f"{w}{j}x" for j in range(3)] for w in base]
+    written = []
+    staged = near_duplicates.staged
+
+    def counted(df, what):
+        out = staged(df, what)
+        if what in ("rest", "crossing"):
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_duplicates, "staged", counted)
+    texts = []
+    for i in range(500):
+        w = list(base)
+        for j in rng.sample(range(150), rng.choice([0, 1, 2]) if i % 2 else rng.choice([5, 6, 7])):
+            w[j] = rng.choice(other[j])
+        texts.append(" ".join(w))
+    _, label = brute_components(texts, 3, 85)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates.linked(docs(spark, texts), 3, 85).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) > 100
+    assert sum(written) <= 2 * len(texts)
+
+
 def test_one_of_each(spark):
     rng = random.Random(8)
     a, b = prose(rng, 50), prose(rng, 50)
