@@ -3,11 +3,12 @@
 1. Each text gets its set of word shingles, the set's size and 128-bit fingerprint, and a MinHash signature. Texts with
    equal sets are one class from here on, so thousands of copies cost as much as one.
 2. Bands of the signature send classes into buckets. A bucket has a few representatives (found by sums before the shuffle), and
-   each of its classes is a candidate with these: no more than REPS pairs for a row, however large the bucket.
+   each of its classes is a candidate with these, in a bucket that these don't compare whole with the first alone: no more than
+   REPS pairs for a row, however large the bucket.
 3. Signatures of candidates are compared batch of positions after batch; as soon as the posterior chance (uniform prior) that
    the similarity reaches the threshold falls to MISS or below, the pair is dropped.
-4. Survivors are verified exactly on full sets: first the most similar candidate of each class; then, of the others, those that
-   the links found so far don't connect.
+4. Survivors are verified exactly on full sets: first the most similar candidate of each class; then, of the others from buckets
+   that are compared whole, those that the links found so far don't connect.
 5. A bucket whose classes are still in different components can hold more links. Shingles that no other class of these buckets
    has bound what a class can share, exactly: with u of n such shingles, n - u at most. Classes for which this is too little for
    the threshold are linked with nothing and go. The others get longer signatures and their rarest shingles, in one order for all; those
