@@ -120,9 +120,13 @@ def token_ranges(tokens: DataFrame, spans: DataFrame, key: str, prompt_len: int)
     """Spans (key, id, start, end in characters of the decoded answer) with a and b: the tokens [a, b) that cover them. tokens: key, k
     (from 0, without gaps) and size, what the answer grows by with the token. Of a span that ends beyond the answer, what is inside
     counts; without tokens it is (prompt_len, prompt_len)."""
+    return token_ranges_of_blocks(blocks_of(tokens, key), spans, key, prompt_len)
+
+
+def blocks_of(tokens: DataFrame, key: str) -> DataFrame:
+    """Tokens (key, k, size), a row each, in blocks: key, k (the first token's number) and sizes."""
     whole = (F.col("k") - F.col("k") % BLOCK).alias("k")
-    parts = tokens.groupBy(key, whole).agg(F.transform(F.array_sort(F.collect_list(F.struct(tokens["k"].alias("t"), "size"))), lambda x: x["size"]).alias("sizes"))
-    return token_ranges_of_blocks(parts, spans, key, prompt_len)
+    return tokens.groupBy(key, whole).agg(F.transform(F.array_sort(F.collect_list(F.struct(tokens["k"].alias("t"), "size"))), lambda x: x["size"]).alias("sizes"))
 
 
 def token_blocks(sizes: Column) -> Column:

@@ -117,3 +117,21 @@ def test_token_ranges_of_texts_order_a_row_per_block(spark, tmp_path, monkeypatc
     want = c.sql(catalog.ORACLES["t33_j11_w06_token_ranges"] + " ORDER BY doc_id").df()
     assert got[["doc_id", "a", "b"]].to_numpy().tolist() == want[["doc_id", "a", "b"]].to_numpy().tolist()
     assert 0 < sum(written) <= 6 * len(texts)
+
+
+@pytest.mark.parametrize("often", [False, True])
+def test_token_ranges_of_odd_documents(spark, tmp_path, monkeypatch, often):
+    """Empty and null texts, null and repeated doc_ids, with few repeated ids and with many, against the SQL."""
+    monkeypatch.setattr(ordered, "BLOCK", 8)
+    rng = random.Random(5)
+    rows = [(1, ""), (2, None), (None, "a b c"), (None, ""), (None, None), (-7, "one two three four five six seven"), (8, " "), (9, ""), (9, "x y z x y z x y z"), (10, None), (10, "x y z x y z x y z")]
+    rows += [(11, ""), (11, ""), (12, None), (12, None), (13, ""), (13, None), (14, "a b c d e f g h"), (14, "a b c d e f g h"), (15, "aaa bbb"), (15, "c d e f g h i j k l m n o p q r s t u v"), (16, "x" * 40)]
+    texts = lambda: "".join(rng.choice(["a", "bb", "é", " ", "  "]) for _ in range(rng.choice([1, 5, 40, 300])))
+    rows += [(100 + (i // 3 if often else i), texts()) for i in range(90)] + [(105, texts()), (105, None)]
+    pd.DataFrame({"doc_id": pd.array([i for i, _ in rows], "Int64"), "text": [t for _, t in rows]}).to_parquet(tmp_path / "documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got = catalog.QUERIES["t33_j11_w06_token_ranges"](spark, str(tmp_path)).select("doc_id", "a", "b").collect()
+    want = c.sql("SELECT doc_id, a, b FROM (" + catalog.ORACLES["t33_j11_w06_token_ranges"] + ") ORDER BY doc_id").fetchall()
+    assert sorted((tuple(r) for r in got), key=lambda r: r[0] is not None and r[0]) == want
+    assert (1, None, None) in want and len(want) == len({i for i, t in rows if i is not None and t is not None})
